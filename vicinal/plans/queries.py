@@ -334,17 +334,18 @@ def _edge_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir).select("src", "dst", "w").join(a, "src").join(b, "dst")
 
 
-_A, _B = [F.col("ax"), F.col("ay")], [F.col("bx"), F.col("by")]
+def _ends() -> tuple[list[Column], list[Column]]:
+    return [F.col("ax"), F.col("ay")], [F.col("bx"), F.col("by")]
 
 
 @query(f"WITH {_EXY} SELECT src, dst, {_cols(inv='1 / (1 + q)')} FROM exy")
 def inv_one_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edge_coordinates(spark, sf_dir).select("src", "dst", _r(fx.inv_one_plus(fx.sqdist_of(_A, _B)), "inv"))
+    return _edge_coordinates(spark, sf_dir).select("src", "dst", _r(fx.inv_one_plus(fx.sqdist_of(*_ends())), "inv"))
 
 
 @query(f"WITH {_EXY} SELECT src, dst, {_cols(gx='-2 * w / (1 + q) * (a_x - b_x)', gy='-2 * w / (1 + q) * (a_y - b_y)')} FROM exy")
 def grad_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gx, gy = fx.grad_pos(_A, _B, F.col("w"))
+    gx, gy = fx.grad_pos(*_ends(), F.col("w"))
     return _edge_coordinates(spark, sf_dir).select("src", "dst", _r(gx, "gx"), _r(gy, "gy"))
 
 
@@ -353,7 +354,7 @@ _NEG = "2 * 7.0 * w / greatest(q * (1 + q), 1e-18) * (a_{0} - b_{0})"
 
 @query(f"WITH {_EXY} SELECT src, dst, round({_NEG.format('x')}, 4) + 0.0 AS gx, round({_NEG.format('y')}, 4) + 0.0 AS gy FROM exy")
 def grad_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gx, gy = fx.grad_neg(_A, _B, F.col("w"), 7.0)
+    gx, gy = fx.grad_neg(*_ends(), F.col("w"), 7.0)
     return _edge_coordinates(spark, sf_dir).select("src", "dst", F.round(gx, 4).alias("gx"), F.round(gy, 4).alias("gy"))
 
 
@@ -362,7 +363,7 @@ def grad_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT src, dst, {_cols(gx='CASE WHEN norm > 10 THEN gx * 10 / norm ELSE gx END', gy='CASE WHEN norm > 10 THEN gy * 10 / norm ELSE gy END')} FROM m"
 )
 def clip_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gx, gy = fx.grad_neg(_A, _B, F.col("w"), 7.0)
+    gx, gy = fx.grad_neg(*_ends(), F.col("w"), 7.0)
     rows = _edge_coordinates(spark, sf_dir).select("src", "dst", gx.alias("gx"), gy.alias("gy"))
     cx, cy = fx.clipped([F.col("gx"), F.col("gy")], 10.0)
     return rows.select("src", "dst", _r(cx, "gx"), _r(cy, "gy"))
