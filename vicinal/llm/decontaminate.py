@@ -92,7 +92,7 @@ class BenchmarkIndex:
         self.bound = np.maximum(1, sizes - Q + 1 - Q * self.edits)
         grams = [qgrams(w) for _, w in self.windows]
         every = np.concatenate([*grams, np.empty(0, np.uint64)])
-        window = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        window = np.repeat(np.arange(len(grams)), np.array([len(g) for g in grams], dtype=np.int64))
         place = np.concatenate([*[np.arange(len(g)) for g in grams], np.empty(0, np.int64)]).astype(np.int64)
         order = np.argsort(every, kind="stable")
         self.window, self.place = window[order], place[order]
@@ -135,7 +135,7 @@ class BenchmarkIndex:
             hit = aligned(pattern, text, most, low - most, low + 2 * most + 1 + most)
             if hit:
                 found.setdefault((item, hit[1], hit[2]), hit[0])
-        return sorted((item, a, z, e) for (item, a, z), e in found.items())
+        return sorted(((item, a, z, e) for (item, a, z), e in found.items()), key=lambda x: (x[1:], x[0] is None, x[0] or 0))
 
 
 def contamination(

@@ -108,7 +108,8 @@ def divergence(p: Column, q: Column) -> Column:
     scaled = lambda x: F.transform(x, lambda v: v / F.when(total(x) > 0, total(x)))
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).when(x.isNotNull(), 0.0)
     both = F.zip_with(scaled(p), scaled(q), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(total(both) / 2, F.lit(0.0)))
+    half = total(both) / 2
+    return F.when(half.isNotNull(), F.sqrt(F.greatest(half, F.lit(0.0))))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
