@@ -24,7 +24,7 @@ KEY = "__row_key"
 def _without_rejected(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``verdicts(doc_id, kept)``, of which doc_id is KEY: the rows of ``docs`` that aren't rejected."""
     rejected = cut(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias(KEY)).distinct(), "rejected")
-    return _keyed(docs).join(rejected, KEY, "left_anti").select(*docs.columns)
+    return _keyed(docs).join(rejected.hint("merge"), KEY, "left_anti").select(*docs.columns)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, and one row of each id."""
     found = near_duplicates(docs)
     gone = cut(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
