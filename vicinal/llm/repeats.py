@@ -72,11 +72,12 @@ def without_repeats(
     first = cut(
         windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "i")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "first"
     )
-    later = windows.join(first, ["a", "b"]).where(F.struct("doc_id", "th", "i") != F.col("first"))
+    later = windows.join(first.hint("merge"), ["a", "b"]).where(F.struct("doc_id", "th", "i") != F.col("first"))
     gone = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("i", "w")).alias("runs"))
     covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["w"] - 1))))
     gone = cut(gone.select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), covered.alias("gone")), "gone")
-    joined = base.join(gone, base.doc_id.eqNullSafe(gone.g_id) & (base.th == gone.g_th), "left")
+    # at every size by the same plan, which sends each text once
+    joined = base.join(gone.hint("merge"), base.doc_id.eqNullSafe(gone.g_id) & (base.th == gone.g_th), "left")
     pieces = split(F.col("text"))
     kept = joined.select("row", "doc_id", "text", pieces.alias("pieces"), "gone")
     # places among the units with a word become places among all units
