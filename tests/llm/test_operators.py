@@ -368,7 +368,7 @@ def test_substring_dedup_like_brute_force(spark):
     rows = [(i, " ".join(rng.choice(bank) for _ in range(rng.randrange(9))) + rng.choice(["", " ", "\n"])) for i in range(60)]
     mark = lambda t: [x for x in re.sub(r"([.!?][ \t\n\x0b\f\r]+|\n[ \t\n\x0b\f\r]*)", "\\1\x1e", t).split("\x1e") if x]
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in repeats.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_repeats(rows, mark, "", ((3, 60), (2, 150)))
+    assert got == brute_repeats(rows, mark, "", repeats.SENTENCE_RUNS)
 
 
 @pytest.mark.parametrize("operator", [repeats.line_dedup, repeats.substring_dedup])

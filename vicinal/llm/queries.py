@@ -12,7 +12,7 @@ from vicinal.llm.bpe import bpe_codes
 from vicinal.llm.classifier import classified
 from vicinal.llm.decontaminate import contamination
 from vicinal.llm.neardup import near_duplicates
-from vicinal.llm.repeats import line_dedup, substring_dedup
+from vicinal.llm.repeats import SENTENCE_RUNS, line_dedup, substring_dedup
 from vicinal.llm.sharding import assign_shards
 from vicinal.llm.unigram import token_counts
 from vicinal.llm.warc import archived
@@ -191,5 +191,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _op3(),
     "op5_warc": _OP5,
     "op8_line_dedup": _repeats("string_split(text, chr(10))", "chr(10)", ((3, 1),), "n_lines"),
-    "op10_substring_dedup": _repeats(_SENTENCES, "''", ((3, 60), (2, 150)), "n_sentences"),
+    "op10_substring_dedup": _repeats(_SENTENCES, "''", SENTENCE_RUNS, "n_sentences"),
 }

@@ -18,6 +18,9 @@ from vicinal.session import cut
 WHITE = r"[ \t\n\x0B\f\r]"
 #: Set between sentences; a text that holds it is taken as one sentence.
 MARK = "\ue000\ue001\ue000"
+#: Runs of three sentences and the characters that they must have, so that chance repeats of very short
+#: ones stay; and shorter runs that are as long as a passage.
+SENTENCE_RUNS = ((3, 60), (2, 150), (1, 280))
 
 
 def lines(text: Column) -> Column:
@@ -98,8 +101,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shapes: tuple[tuple[int, int], ...] = ((3, 60), (2, 150))
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shapes: tuple[tuple[int, int], ...] = SENTENCE_RUNS
 ) -> DataFrame:
-    """Runs of three sentences with 60 characters or more, and of two with 150 or more, so that chance
-    repeats of very short sentences stay; see ``without_repeats`` for odd rows."""
+    """Runs of sentences as in SENTENCE_RUNS; see ``without_repeats`` for odd rows."""
     return without_repeats(docs, id_col, text_col, sentences, "", shapes)
