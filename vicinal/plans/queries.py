@@ -6,8 +6,6 @@ from a hash of the id; sweep queries take ``part`` as a table of runs.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions import vectors as fx
 from vicinal.operators import coarsen, evaluate, graph, knn, layout, probability, sampling
+from vicinal.session import new_dir
 from vicinal.sources import vectors as files
 
 K, GROUPS, TARGET, SIGMA = 10, 97, 5.0, 0.7
@@ -428,7 +427,7 @@ def embed_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fvecs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A thousand vectors of a rule, written as fvecs and read again in byte ranges (a fixture, not a table)."""
     x = (np.arange(64_000, dtype=np.float32) * np.float32(0.1)).reshape(1000, 64)
-    path = os.path.join(tempfile.gettempdir(), f"vicinal-{os.getpid()}.fvecs")
+    path = f"{new_dir(spark, 'vectors')}/x.fvecs"
     files.write_fvecs(x, path)
     return files.read_vectors(spark, path, 1000, 64)
 

@@ -5,6 +5,7 @@ Matrix files are cut into byte ranges of whole records, which executors read on
 
 from __future__ import annotations
 
+import os
 import struct
 from pathlib import PurePosixPath
 
@@ -24,7 +25,20 @@ def _open(path: str):
 
         system, inner = fs.FileSystem.from_uri(path)
         return system.open_input_file(inner)
-    return open(path.removeprefix("file://"), "rb")
+    return open(path.removeprefix("file:") if path.startswith("file:") else path, "rb")
+
+
+def _create(path: str):
+    """A new file, and the folder that it is in."""
+    if "://" in path and not path.startswith("file://"):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        system.create_dir(str(PurePosixPath(inner).parent), recursive=True)
+        return system.open_output_stream(inner)
+    path = path.removeprefix("file://").removeprefix("file:")
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    return open(path, "wb")
 
 
 def _size(f) -> int:
@@ -99,11 +113,13 @@ def write_fvecs(x: np.ndarray, path: str) -> None:
     x = np.ascontiguousarray(x, "<f4")
     table = np.empty(len(x), np.dtype([("d", "<i4"), ("x", "<f4", (x.shape[1],))]))
     table["d"], table["x"] = x.shape[1], x
-    table.tofile(path)
+    with _create(path) as f:
+        f.write(table.tobytes())
 
 
 def write_raw(x: np.ndarray, path: str) -> None:
-    np.ascontiguousarray(x, "<f4").tofile(path)
+    with _create(path) as f:
+        f.write(np.ascontiguousarray(x, "<f4").tobytes())
 
 
 def _axes(layout: DataFrame) -> list[str]:
@@ -116,7 +132,7 @@ def _axes(layout: DataFrame) -> list[str]:
 def write_layout_f32(layout: DataFrame, path: str) -> None:
     """Row-major float32 in order of id, streamed through the driver a partition at a time."""
     axes = _axes(layout)
-    with open(path, "wb") as f:
+    with _create(path) as f:
         for row in layout.orderBy("id").select(*axes).toLocalIterator():
             f.write(struct.pack(f"<{len(axes)}f", *row))
 
