@@ -85,7 +85,9 @@ def without_repeats(
     kept = joined.select("row", "doc_id", "text", pieces.alias("pieces"), "gone")
     # places among the units with a word become places among all units
     worded_at = F.transform(F.filter(F.transform("pieces", lambda x, at: F.struct(F.length(trimmed(x)).alias("n"), at.alias("at"))), lambda x: x["n"] > 0), lambda x: x["at"])
-    kept = kept.withColumn("drop", F.when(F.col("gone").isNotNull(), F.transform("gone", lambda k: worded_at[k])))
+    # as an element of an array the places are found once for a text, not once for each unit that goes
+    drop = F.flatten(F.transform(F.array(worded_at), lambda at: F.transform("gone", lambda k: at[k])))
+    kept = kept.withColumn("drop", F.when(F.col("gone").isNotNull(), drop))
     stay = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), F.col("drop"))
     left = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.col("pieces")[k]), joint))
     return kept.select(
