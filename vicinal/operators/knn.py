@@ -198,13 +198,13 @@ def leaf_candidates(pts: DataFrame, placed: DataFrame, k: int, most: int = 4096)
     return rows.groupBy("tree", "leaf", "part").applyInArrow(run, "src long, dst long, d2 double")
 
 
-def approx_knn(pts: DataFrame, k: int, trees: int = 4, leaf: int | None = None, passes: int = 5, seed: int = 0) -> DataFrame:
+def approx_knn(pts: DataFrame, k: int, trees: int = 8, leaf: int | None = None, passes: int = 5, seed: int = 0) -> DataFrame:
     """Leaf-mates of several trees, refined by descent passes.  k must be less than the number of points."""
     pts = cut(pts, "points")
     n = pts.count()
     if k >= n:
         raise ValueError(f"k is {k}, of {n} points")
-    placed = cut(leaves(pts, trees, leaf or max(10, 2 * k), seed), "leaves")
+    placed = cut(leaves(pts, trees, leaf or max(64, 10 * k), seed), "leaves")
     knn = cut(top_k(leaf_candidates(pts, placed, k), k), "knn")
     for _ in range(passes):
         knn = cut(nn_descent_pass(knn, pts, k), "knn")
