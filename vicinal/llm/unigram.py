@@ -46,25 +46,29 @@ class UnigramCounter:
 
     def word(self, word: str) -> int:
         """Pieces of the best segmentation of one word that begins with the space mark."""
-        n = len(word)
+        n, single, unknown = len(word), self.single, self.unknown
         best, count, run = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        matches: list[list[tuple[int, float, bool]]] = [[] for _ in range(n + 1)]
-        for end, value in self.find.iter(word):
-            matches[end + 1].append(value)
-        for end in range(1, n + 1):
-            top = None
-            for length, score, is_unknown in sorted(matches[end], reverse=True, key=lambda m: m[0]):
-                start = end - length
-                if top is None or best[start] + score > top:
-                    top = best[start] + score
-                    if is_unknown:
-                        count[end], run[end] = self._unknown(word[start:end], count[start], run[start]), True
-                    else:
-                        count[end], run[end] = count[start] + 1, False
-            if word[end - 1] not in self.single and (top is None or best[end - 1] + self.unknown > top):
-                top = best[end - 1] + self.unknown
-                count[end], run[end] = self._unknown(word[end - 1], count[end - 1], run[end - 1]), True
-            best[end] = top
+        end, top, pieces, open_run = 1, None, 0, False
+
+        def settle(upto: int) -> None:
+            """Places before ``upto`` have no more matches: an unknown character may still end there."""
+            nonlocal end, top, pieces, open_run
+            while end < upto:
+                if word[end - 1] not in single and (top is None or best[end - 1] + unknown > top):
+                    top, pieces, open_run = best[end - 1] + unknown, self._unknown(word[end - 1], count[end - 1], run[end - 1]), True
+                best[end], count[end], run[end] = top, pieces, open_run
+                end, top = end + 1, None
+
+        # matches come in order of their ends, and of one end the longest first
+        for last, (length, score, is_unknown) in self.find.iter(word):
+            if last >= end:
+                settle(last + 1)
+            start = last + 1 - length
+            value = best[start] + score
+            if top is None or value > top:
+                top, open_run = value, is_unknown
+                pieces = self._unknown(word[start : last + 1], count[start], run[start]) if is_unknown else count[start] + 1
+        settle(n + 1)
         return count[n]
 
     def _unknown(self, text: str, before: int, after_unknown: bool) -> int:
