@@ -98,3 +98,31 @@ def test_runs(spark, tmp_path):
     path.write_text('[{"success": true, "test_id": "K_30", "m": 1.5, "config": {"K": 30}}, {"success": false, "test_id": "x", "config": {"K": 50}}]')
     rows = files.read_runs(spark, str(path)).collect()
     assert len(rows) == 1 and rows[0]["config_K"] == 30
+
+
+def test_negatives_of_large_levels(spark):
+    n, groups = 200_000, 300_000
+    degree = spark.range(n).select("id", (F.col("id") % 2 + 1).alias("degree"))
+    pool = layout.negative_pool(degree, n).cache()
+    base = spark.range(groups).select(F.col("id").alias("gid"), (F.col("id") % n).alias("i"), F.lit(1).cast("long").alias("j"))
+    found = layout.with_negatives(base, pool, 5, "1:0").cache()
+    assert found.count() == groups and found.where("size(negatives) <> 5 or array_contains(negatives, j)").isEmpty()
+    drawn = found.select(F.explode("negatives").alias("n"))
+    by = {r["d"]: (r["c"], r["v"]) for r in drawn.groupBy((F.col("n") % 2 + 1).alias("d")).agg(F.count("n").alias("c"), F.count_distinct("n").alias("v")).collect()}
+    # a step is shared by degree, and nearly every vertex is met: 65,536 at most with one vertex a step
+    assert by[2][0] / by[1][0] == pytest.approx(2, rel=0.02) and by[1][1] + by[2][1] > 199_000
+    # what equals j is drawn again among the others, by their degrees
+    three = layout.negative_pool(spark.createDataFrame([(1, 6), (2, 1), (3, 3)], "id long, degree long"), 3)
+    met = {r["n"]: r["count"] for r in layout.with_negatives(base.limit(20_000), three, 5, "1:0").select(F.explode("negatives").alias("n")).groupBy("n").count().collect()}
+    assert 1 not in met and met[2] + met[3] == 100_000 and met[3] / met[2] == pytest.approx(3, rel=0.05)
+    assert layout.with_negatives(base, three, 0, "1:0").where("size(negatives) > 0").isEmpty()
+
+
+def test_large_levels_move_groups_without_an_edge(spark, monkeypatch):
+    monkeypatch.setattr(layout, "LOCAL_EDGES", 1)
+    vertices = spark.createDataFrame([(k, k) for k in range(4)], "id long, gid long")
+    edges = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5), (1, 2, 0.5), (2, 1, 0.5)], "src long, dst long, w double")
+    at = spark.createDataFrame([(k, k, 0.01 * k, 0.02 * k * k) for k in range(4)], "id long, gid long, x double, y double")
+    config = layout.Config(k=1)
+    moved = layout.optimize_level(layout.Level(vertices, edges, 4), at, config, 2, 7.0, 1).join(at.select("id", F.col("x").alias("x0")), "id")
+    assert moved.count() == 4 and moved.where("x = x0").isEmpty()

@@ -178,24 +178,59 @@ def optimize_level(level: Level, layout: DataFrame, config: Config, epochs: int,
     return points.unionByName(links).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, schema)  # bounded by LOCAL_EDGES
 
 
+def negative_pool(degree: DataFrame, n: int) -> DataFrame:
+    """(step, steps, n, lo, hi): the distribution by degree, each vertex on every step that its share touches.
+
+    There are as many steps as vertices, so a step holds few and the table is bounded by twice their number.
+    """
+    from vicinal.operators.sampling import degree_cdf
+
+    steps = max(1 << 16, n)
+    first, last = F.floor(F.col("lo") * steps), F.ceil(F.col("hi") * steps) - 1
+    cdf = degree_cdf(degree).where("hi > lo")
+    return cdf.select(F.explode(F.sequence(first, F.greatest(first, last))).alias("step"), F.lit(steps).alias("steps"), F.col("id").alias("n"), "lo", "hi")
+
+
+def with_negatives(base: DataFrame, pool: DataFrame, negatives: int, seed: str) -> DataFrame:
+    """``base(gid, i, j)`` with an array of negatives: all vertices by degree, but j, as if drawn until another comes."""
+    from vicinal.operators.sampling import position
+
+    if not negatives:
+        return base.withColumn("negatives", F.array().cast("array<long>"))
+    steps = pool.first()["steps"]
+    places = pool.drop("steps")
+
+    def at(rows: DataFrame, u: Column) -> DataFrame:
+        rows = rows.withColumn("u", u).withColumn("step", F.floor(F.col("u") * steps))
+        return rows.join(places, "step").where("lo <= u and u < hi").select("gid", "i", "j", "k", "n", "lo", "hi")
+
+    key, width = F.concat_ws(":", "gid", "k"), F.col("jhi") - F.col("jlo")
+    each = base.select("gid", "i", "j", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("k"))
+    once = cut(at(each, position(seed, key)), "negatives")
+    # the second draw leaves out the share of j; where no other vertex has one, j stays
+    own = F.col("n").eqNullSafe(F.col("j")) & (F.col("hi") - F.col("lo") < 1)
+    second = once.where(own).select("gid", "i", "j", "k", F.col("lo").alias("jlo"), F.col("hi").alias("jhi"))
+    u = position(f"{seed}:again", key) * (1.0 - width)
+    again = at(second, F.when(u < F.col("jlo"), u).otherwise(F.greatest(u + width, F.col("jhi"))))
+    every = once.where(~own).unionByName(again)
+    return every.groupBy("gid", "i", "j").agg(F.collect_list("n").alias("negatives"))
+
+
 def _optimize_together(level: Level, layout: DataFrame, config: Config, epochs: int, gamma: float, seed: int) -> DataFrame:
     from vicinal.operators.coarsen import representatives
-    from vicinal.operators.sampling import degree_cdf, positive_edges, uniform
+    from vicinal.operators.sampling import positive_edges
 
     if config.dim != 2:
         raise ValueError("levels beyond LOCAL_EDGES are laid out in two dimensions")
     degree = cut(degrees(level.vertices.select("id"), level.edges), "degrees")
     reps = cut(representatives(level.vertices, degree), "representatives")
-    # a bounded table of the distribution: 65,536 equal steps, each with a vertex of its share
-    steps = 1 << 16
-    cdf = degree_cdf(degree).where("hi > lo")
-    pool = cut(cdf.select(F.col("id").alias("n"), F.explode(F.sequence(F.ceil(F.col("lo") * steps), F.greatest(F.ceil(F.col("lo") * steps), F.ceil(F.col("hi") * steps) - 1))).alias("step")), "pool")
+    pool = cut(negative_pool(degree, level.n), "pool")
     for epoch in range(epochs):
         drawn = positive_edges(level.edges, seed * 1000 + epoch)
-        base = reps.join(drawn.withColumnRenamed("src", "rep").withColumnRenamed("dst", "j"), "rep")
-        each = base.select("gid", F.col("rep").alias("i"), "j", F.explode(F.sequence(F.lit(1), F.lit(config.negatives))).alias("k"))
-        each = each.withColumn("step", F.floor(uniform(f"{seed}:{epoch}", F.concat_ws(":", "gid", "k")) * steps))
-        samples = each.join(pool.groupBy("step").agg(F.min("n").alias("n")), "step", "left").groupBy("gid", "i", "j").agg(F.collect_list("n").alias("negatives"))
+        # a representative without an edge stands for its own neighbour, as in LevelKernel
+        base = reps.join(drawn.withColumnRenamed("src", "rep").withColumnRenamed("dst", "j"), "rep", "left")
+        base = cut(base.select("gid", F.col("rep").alias("i"), F.coalesce("j", "rep").alias("j")), "drawn")
+        samples = with_negatives(base, pool, config.negatives, f"{seed}:{epoch}")
         lr = learning_rate(config.schedule, config.rate, config.beta, epochs, epoch)
         layout = cut(synchronous_epoch(layout, level.edges, samples, lr, gamma, config.most_norm, config.direction), "layout")
     return layout

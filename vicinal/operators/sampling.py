@@ -19,6 +19,11 @@ def uniform(seed: int | str, key: Column) -> Column:
     return F.conv(F.substring(hashed(seed, key), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def position(seed: int | str, key: Column) -> Column:
+    """The same in steps of 2 to the -52, for draws among more rows than 32 bits tell apart."""
+    return F.conv(F.substring(hashed(seed, key), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def running(rows: DataFrame, value: str, bucket: Column, order: list) -> DataFrame:
     """``rows`` with ``before`` (the sum of all earlier rows' values) and ``total``."""
     rows = rows.withColumn("bucket", bucket)
