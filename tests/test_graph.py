@@ -116,6 +116,31 @@ def test_descent_and_trees_find_neighbours(spark):
         knn.approx_knn(pts, 240)
 
 
+def test_large_leaves_are_compared_as_a_whole(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 8)) for c in rng.normal(0, 3, (6, 8))])[rng.permutation(240)]
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").cache()
+    one_leaf = pts.select(F.lit(0).alias("tree"), F.lit(1).cast("long").alias("leaf"), "id")
+    true = knn.exact_knn(pts, 10).cache()
+    # no tree and no descent: all pairs of a leaf in parts of 30
+    assert knn.recall(knn.top_k(knn.leaf_candidates(pts, one_leaf, 10, most=30), 10), true).first()["recall"] == 1.0
+    split = knn.split_leaves(one_leaf, pts, most=30).cache()
+    assert split.count() == 240 and split.select("id").distinct().count() == 240
+    assert split.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 30
+    eight = one_leaf.drop("tree").crossJoin(spark.range(8).select(F.col("id").cast("int").alias("tree"))).select("tree", "leaf", "id")
+    found = knn.top_k(knn.leaf_candidates(pts, knn.split_leaves(eight, pts, most=30), 10, most=30), 10)
+    assert knn.recall(found, true).first()["recall"] >= 0.8
+
+
+def test_coincident_leaves_end(spark):
+    pts = spark.createDataFrame([(i, [0.1, 0.7, 0.3] if i % 4 else [float(i), 0.0, 1.0]) for i in range(80)], "id long, v array<double>")
+    one_leaf = pts.select(F.lit(0).alias("tree"), F.lit(1).cast("long").alias("leaf"), "id")
+    sizes = sorted(r["count"] for r in knn.split_leaves(one_leaf, pts, most=8).groupBy("leaf").count().collect())
+    assert sizes[-1] == 60 and sum(sizes) == 80 and sizes[-2] <= 8
+    found = knn.approx_knn(pts, 3, trees=2, leaf=100, passes=0, most=8)
+    assert found.where("src % 4 <> 0").groupBy("src").count().where("count = 3").count() == 60
+
+
 def test_groups(spark):
     ring = [(i, (i + s) % 8, 1.0 + i) for i in range(8) for s in (1, 7)]
     e = edges_of(spark, ring)

@@ -18,6 +18,8 @@ from vicinal.session import cut
 BLOCK = 512
 #: Points that the trees are fitted to at most; every point is placed in every tree.
 SAMPLE_POINTS = 20_000
+#: Points of a leaf that one task compares; larger leaves are split further.
+LEAF_POINTS = 4096
 
 
 def points(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -176,16 +178,63 @@ def leaves(pts: DataFrame, trees: int = 4, leaf: int = 10, seed: int = 0) -> Dat
     return pts.select("id", "v").mapInArrow(run, "tree int, leaf long, id long")
 
 
-def leaf_candidates(pts: DataFrame, placed: DataFrame, k: int, most: int = 4096) -> DataFrame:
-    """The k nearest of each point among its leaf-mates; leaves beyond ``most`` points are dealt out in parts."""
+def split_leaves(placed: DataFrame, pts: DataFrame, most: int = LEAF_POINTS, seed: int = 0) -> DataFrame:
+    """``placed`` with leaves of over ``most`` points halved, by projections of their own points, until none is
+    left.  A leaf whose points coincide stays whole."""
+    done, step = None, 0
+    join = lambda a, b: b if a is None else a.unionByName(b)
+    while True:
+        sizes = cut(placed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).drop("n"), "sizes")
+        if sizes.isEmpty():
+            return join(done, placed)
+        done = join(done, placed.join(F.broadcast(sizes), ["tree", "leaf"], "left_anti"))
+        large = placed.join(F.broadcast(sizes), ["tree", "leaf"]).join(pts, "id").select("tree", "leaf", "id", "v")
+        large = cut(large.mapInArrow(_projected(seed, step), "tree int, leaf long, id long, value double"), "projected")
+        bounds = large.groupBy("tree", "leaf").agg(F.min("value").alias("least"), F.max("value").alias("top"), F.percentile_approx("value", 0.5).alias("half"))
+        large = large.join(F.broadcast(bounds), ["tree", "leaf"])
+        # where half of the points or more have the least value, they part from the others
+        low = (F.col("value") < F.col("half")) | (F.col("value") == F.col("least"))
+        # leaves have numbers under 2 to the 20; each halving has a bit of its own
+        parted = cut(large.select("tree", F.when(low, F.col("leaf")).otherwise(F.col("leaf") + (1 << 20 + step)).alias("leaf"), "id", (F.col("least") == F.col("top")).alias("whole")), "parted")
+        done = done.unionByName(parted.where("whole").drop("whole"))
+        placed, step = parted.where("not whole").drop("whole"), step + 1
+
+
+def _projected(seed: int, step: int):
+    def run(batches):
+        for batch in batches:
+            tree, leaf, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(pa.chunked_array([batch.column(3)]))
+            value = np.empty(len(v))
+            of, at = np.unique(np.stack([tree, leaf]), axis=1, return_inverse=True)
+            order = np.argsort(at.ravel(), kind="stable")
+            for (t, k), rows in zip(of.T.tolist(), np.split(order, np.cumsum(np.bincount(at.ravel()))[:-1]), strict=True):
+                direction = np.random.default_rng([seed & 0xFFFFFFFF, step, t, k]).normal(size=v.shape[1])
+                # row by row in one order, so that equal points have equal values
+                value[rows] = (v[rows] * direction).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(value)], names=["tree", "leaf", "id", "value"])
+
+    return run
+
+
+def leaf_candidates(pts: DataFrame, placed: DataFrame, k: int, most: int = LEAF_POINTS) -> DataFrame:
+    """The k nearest of each point among all its leaf-mates; leaves beyond ``most`` points are dealt out in
+    parts, and each part is compared with every part."""
     sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
     rows = placed.join(sizes, ["tree", "leaf"]).join(pts, "id")
-    rows = rows.select("tree", "leaf", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "v")
+    rows = rows.select("tree", "leaf", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("own"), F.sequence(F.lit(0), F.col("parts") - 1).alias("every"), "id", "v")
+    left = rows.select("tree", "leaf", F.col("own").alias("i"), F.explode("every").alias("j"), F.lit(0).alias("side"), "id", "v")
+    # within a part the left side is the right one too
+    right = rows.where(F.size("every") > 1).select("tree", "leaf", F.explode("every").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "id", "v").where("i <> j")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, x = table["id"].to_numpy(), matrix(table["v"])
+        side = table["side"].to_numpy()
+        lefts = table.filter(pa.array(side == 0))
+        rights = lefts if table["i"][0] == table["j"][0] else table.filter(pa.array(side == 1))
+        ids, x = rights["id"].to_numpy(), matrix(rights["v"])
         src, dst, d2 = [], [], []
-        for i, own in zip(ids, x, strict=True):
+        for i, own in zip(lefts["id"].to_numpy(), matrix(lefts["v"]), strict=True):
+            if not len(ids):
+                break
             d = distances(own, x)
             d[ids == i] = np.inf
             best = np.argsort(d, kind="stable")[:k]
@@ -195,16 +244,16 @@ def leaf_candidates(pts: DataFrame, placed: DataFrame, k: int, most: int = 4096)
             d2 += d[best].tolist()
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "d2": pa.array(d2, pa.float64())})
 
-    return rows.groupBy("tree", "leaf", "part").applyInArrow(run, "src long, dst long, d2 double")
+    return left.unionByName(right).groupBy("tree", "leaf", "i", "j").applyInArrow(run, "src long, dst long, d2 double")
 
 
-def approx_knn(pts: DataFrame, k: int, trees: int = 8, leaf: int | None = None, passes: int = 5, seed: int = 0) -> DataFrame:
+def approx_knn(pts: DataFrame, k: int, trees: int = 8, leaf: int | None = None, passes: int = 5, seed: int = 0, most: int = LEAF_POINTS) -> DataFrame:
     """Leaf-mates of several trees, refined by descent passes.  k must be less than the number of points."""
     pts = cut(pts, "points")
     n = pts.count()
     if k >= n:
         raise ValueError(f"k is {k}, of {n} points")
-    placed = cut(leaves(pts, trees, leaf or max(64, 10 * k), seed), "leaves")
+    placed = split_leaves(cut(leaves(pts, trees, leaf or max(64, 10 * k), seed), "leaves"), pts, most, seed)
     knn = cut(top_k(leaf_candidates(pts, placed, k), k), "knn")
     for _ in range(passes):
         knn = cut(nn_descent_pass(knn, pts, k), "knn")
