@@ -44,13 +44,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, and one row of each id."""
-    found = near_duplicates(docs)
-    gone = cut(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """One document of each group of near copies stays, that of the least id, and one row of each id and text.
+
+    One id on different texts stands for several documents.  A row without an id stays.
+    """
+    keyed = docs.withColumn(KEY, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = near_duplicates(keyed, id_col=KEY).where("doc_id is not null").select(F.col("doc_id").alias(KEY), "component_id")
+    ids = keyed.where(F.col(KEY).isNotNull()).select(KEY, F.col("doc_id").cast("long").alias("id")).distinct()
+    members = cut(found.distinct().join(ids, KEY), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", KEY))[KEY].alias(KEY))
+    gone = cut(members.select(KEY).join(first.select(KEY), KEY, "left_anti"), "gone")
+    left = keyed.join(gone.hint("merge"), KEY, "left_anti")
+    if not keyed.where(F.col(KEY).isNotNull()).groupBy(KEY).count().where("count > 1").isEmpty():
+        left = left.where(F.col(KEY).isNotNull()).dropDuplicates([KEY]).unionByName(left.where(F.col(KEY).isNull()))
+    return left.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,12 @@ def test_stages_of_odd_rows(spark):
         assert stage(spark, docs, DATA).count() <= len(rows)
         assert stage(spark, docs.limit(0), DATA).count() == 0
     assert corpus_pipeline.near_dedup(spark, docs, DATA).where("doc_id = 8").count() == 1
+
+
+def test_near_dedup_of_one_id_on_several_texts(spark):
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (2, text(2)), (2, text(1)), (2, text(3)), (2, text(3)), (3, text(4)), (0, text(4) + " end"), (None, text(1)), (None, text(1)), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()), key=repr)
+    want = [(1, text(1)), (2, text(2)), (2, text(3)), (0, text(4) + " end"), (None, text(1)), (None, text(1)), (7, None), (8, "")]
+    assert got == sorted(want, key=repr)
