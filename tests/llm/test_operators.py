@@ -276,6 +276,15 @@ def test_contamination(spark, monkeypatch):
     assert decontaminate.contamination(odd(spark), items.limit(0)).where("not kept").isEmpty()
 
 
+def test_short_items_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "Who is Ann?"), (2, "forty two"), (3, "?!"), (4, "forty two"), (5, " ")], "item_id long, text string")
+    texts = ["so who  is\nANN?\u201d", "who is anne?", "it is Forty Two.", "forty twos", "a forty-two", "what?!", "what ?! no", "", "xforty two", "forty two"]
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contamination(table(spark, [(k, t, "en") for k, t in enumerate(texts)]), items).collect()}
+    assert got == {0: [1], 1: [], 2: [2, 4], 3: [], 4: [], 5: [], 6: [3], 7: [], 8: [], 9: [2, 4]}
+    index = decontaminate.BenchmarkIndex([(1, "forty two"), (2, "word " * 20)])
+    assert index.regions("So forty two " + "word " * 20)[0] == (1, 3, 12, 0) and {r[0] for r in index.regions("word " * 20)} == {2}
+
+
 # ---- tokens ----
 
 ALPHABET = list("abcABC  \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\u3000ΣσςİıßÉ\u0301한글漢字👩\u200d'’`sStTrReEvVlLdD0129٣²<|>!?.,#%") + ["<|endoftext|>", "'s", "'ll", "ΑΣ ", "Å", " the", "▁"]

@@ -3,11 +3,12 @@
 Benchmark items are cut into overlapping windows.  A text region that holds a window with at most e edits
 shares at least len - q + 1 - q * e of its q-grams, all within e + 1 neighbouring diagonals.  Shared
 q-grams are counted in overlapping bands of 2 (e + 1) diagonals; bands that meet the bound are verified
-by banded alignment.
+by banded alignment.  Items under LEAST_ITEM characters are found whole, by their length and a set.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,15 @@ from pyspark.sql import functions as F
 Q, WINDOW, STRIDE = 10, 80, 40
 #: One edit for so many characters of a window.
 CHARS_AN_EDIT = 16
-#: Shorter items aren't looked for: they stand in texts by chance.
+#: Shorter items are looked for word for word, between word boundaries, without edits.
 LEAST_ITEM = 30
 #: Characters of the benchmark that are sent to the workers at once; a larger one is taken in several passes.
 BLOCK_CHARS = 20_000_000
 _BASE = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
 _BITS = 22
+_WORD = re.compile(r"\w")
+#: Where a short item may begin: at a word's first character, or at any other character but a space.
+_STARTS = re.compile(r"\w+|[^\w\s]")
 
 SPANS = "array<struct<item_id:bigint,begin:int,end:int,edits:int>>"
 
@@ -82,11 +86,15 @@ class BenchmarkIndex:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.windows: list[tuple[int, str]] = []
+        self.short: dict[str, list[int]] = {}
         for item, text in items:
             text = normal(text)
-            if len(text) >= LEAST_ITEM:
+            if text and len(text) < LEAST_ITEM:
+                self.short.setdefault(text, []).append(item)
+            elif text:
                 last = max(0, len(text) - WINDOW)
                 self.windows += [(item, text[i : i + WINDOW]) for i in sorted({*range(0, last, STRIDE), last})]
+        self.lengths = sorted({len(x) for x in self.short})
         sizes = np.array([len(w) for _, w in self.windows], dtype=np.int64)
         self.edits = np.minimum(sizes // CHARS_AN_EDIT, np.maximum(0, (sizes - Q) // Q))
         self.bound = np.maximum(1, sizes - Q + 1 - Q * self.edits)
@@ -106,9 +114,35 @@ class BenchmarkIndex:
 
     def regions(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, begin, end, edits) of every region of the normalised text, the best for each band."""
-        if not text or not len(self.keys):
+        if not text:
             return []
         text = normal(text)
+        found = self._short_regions(text) + self._long_regions(text)
+        return sorted(found, key=lambda x: (x[1:], x[0] is None, x[0] or 0))
+
+    def _short_regions(self, text: str) -> list[tuple[int, int, int, int]]:
+        """Whole short items: one that begins or ends with a word's character doesn't cut a word there, and one
+        without any stands between spaces."""
+        if not self.short:
+            return []
+        found = []
+        for start in _STARTS.finditer(text):
+            begin = start.start()
+            for n in self.lengths:
+                part, end = text[begin : begin + n], begin + n
+                if end > len(text):
+                    break
+                items = self.short.get(part)
+                if items is None or (_WORD.match(part[-1]) and _WORD.match(text, end)):
+                    continue
+                if not _WORD.search(part) and (text[begin - 1 : begin].strip() or text[end : end + 1].strip()):
+                    continue
+                found += [(item, begin, end, 0) for item in items]
+        return found
+
+    def _long_regions(self, text: str) -> list[tuple[int, int, int, int]]:
+        if not len(self.keys):
+            return []
         grams = qgrams(text)
         at = np.flatnonzero(self.seen[self._slot(grams)])
         if not len(at):
@@ -135,7 +169,7 @@ class BenchmarkIndex:
             hit = aligned(pattern, text, most, low - most, low + 2 * most + 1 + most)
             if hit:
                 found.setdefault((item, hit[1], hit[2]), hit[0])
-        return sorted(((item, a, z, e) for (item, a, z), e in found.items()), key=lambda x: (x[1:], x[0] is None, x[0] or 0))
+        return [(item, a, z, e) for (item, a, z), e in found.items()]
 
 
 def contamination(
@@ -144,7 +178,7 @@ def contamination(
     """Per row of ``docs``: doc_id, kept, item_ids and spans (item_id, begin, end, edits) in its normal text.
 
     A document is kept if no region of it matches a window of an item.  Null or empty texts and items
-    match nothing, as do items under LEAST_ITEM characters; null or repeated item ids are looked for all
+    match nothing; items under LEAST_ITEM characters match word for word; null or repeated item ids are looked for all
     the same.  Repeated rows and null ids are rows of their own.  Other columns aren't read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
