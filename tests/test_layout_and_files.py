@@ -126,3 +126,29 @@ def test_large_levels_move_groups_without_an_edge(spark, monkeypatch):
     config = layout.Config(k=1)
     moved = layout.optimize_level(layout.Level(vertices, edges, 4), at, config, 2, 7.0, 1).join(at.select("id", F.col("x").alias("x0")), "id")
     assert moved.count() == 4 and moved.where("x = x0").isEmpty()
+
+
+def test_groups_move_one_by_one():
+    rng = np.random.default_rng(7)
+    n = 90
+    src, dst = np.nonzero(rng.random((n, n)) < 0.1)
+    gids = rng.integers(0, 30, n)
+    config = layout.Config(k=5, most_norm=10.0)
+    kernel = layout.LevelKernel(np.arange(n), gids, src, dst, rng.random(len(src)), config)
+    want = rng.normal(size=(n, 2))
+    got = kernel.run(want.copy(), 4, 7.0, 3)
+    for epoch in range(4):
+        draw = np.random.Generator(np.random.Philox(key=3, counter=epoch << 64))
+        order = draw.permutation(len(kernel.rep))
+        j, p, negative = kernel._draws(draw)
+        for k in order:
+            i = kernel.rep[k]
+            to = want[i] - want[j[k]]
+            g = -2 * p[k] * to / (1 + max((to**2).sum(), 1e-12))
+            for m in negative[k]:
+                away = want[i] - want[m]
+                d2 = max((away**2).sum(), 1e-12)
+                g = g + 14 * p[k] / max(d2 * (1 + d2), 1e-18) * away
+            g *= min(1.0, 10 / np.sqrt((g**2).sum()))
+            want[kernel.group == k] += 200 / np.sqrt(1 + epoch / 4) * g
+    assert np.abs(got - want).max() <= 1e-6 * np.abs(want).max()

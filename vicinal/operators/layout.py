@@ -112,9 +112,9 @@ class LevelKernel:
         best = np.lexsort((np.arange(n), -self.degree, self.group))
         self.rep = best[np.searchsorted(self.group[best], np.arange(len(groups)))]
         self.chance = np.cumsum(self.degree) if self.degree.sum() else np.arange(1, n + 1)
-        members = np.argsort(self.group, kind="stable")
-        ends = np.cumsum(np.bincount(self.group, minlength=len(groups)))
-        self.members = np.split(members, ends[:-1])
+        self.members = np.argsort(self.group, kind="stable")
+        self.sizes = np.bincount(self.group, minlength=len(groups))
+        self.first = np.cumsum(self.sizes) - self.sizes
 
     def _draws(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rep, m = self.rep, self.config.negatives
@@ -132,6 +132,20 @@ class LevelKernel:
         negative[again] = np.searchsorted(self.chance, rng.random(again.sum()) * self.chance[-1], side="right")
         return j, p, np.minimum(negative, len(self.ids) - 1)
 
+    def _runs(self, order: np.ndarray, j: np.ndarray, negative: np.ndarray) -> list[int]:
+        """Where runs of ``order`` begin in which no group reads what an earlier one of the run moves: at once,
+        they move as they would one by one."""
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        read = place[self.group[np.column_stack([j, negative])]]
+        last = np.where(read < place[:, None], read, -1).max(1)[order]
+        begin, runs = 0, [0]
+        for at, needs in enumerate(last.tolist()):
+            if needs >= begin and at:
+                begin = at
+                runs.append(at)
+        return runs
+
     def run(self, y: np.ndarray, epochs: int, gamma: float, seed: int) -> np.ndarray:
         c = self.config
         sign = 1.0 if c.direction == "ascent" else -1.0
@@ -140,20 +154,23 @@ class LevelKernel:
             lr = sign * learning_rate(c.schedule, c.rate, c.beta, epochs, epoch)
             order = rng.permutation(len(self.rep))
             j, p, negative = self._draws(rng)
-            # groups move in parts, each seeing what earlier parts have moved
-            for part in np.array_split(order, min(len(order), 16)):
-                i = self.rep[part]
-                to = y[i] - y[j[part]]
-                g = -2.0 * p[part, None] * to / (1.0 + np.maximum((to**2).sum(1), 1e-12))[:, None]
-                away = y[i][:, None, :] - y[negative[part]]
+            runs = self._runs(order, j, negative)
+            sizes = self.sizes[order]
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            moved = self.members[np.repeat(self.first[order] - ends[:-1], sizes) + np.arange(ends[-1])]
+            by = np.repeat(np.arange(len(order)), sizes)
+            i, j, p, negative = self.rep[order], j[order], p[order], negative[order]
+            for a, b in zip(runs, [*runs[1:], len(order)], strict=True):
+                own, w = y[i[a:b]], p[a:b, None]
+                to = own - y[j[a:b]]
+                g = -2.0 * w * to / (1.0 + np.maximum((to**2).sum(1), 1e-12))[:, None]
+                away = own[:, None, :] - y[negative[a:b]]
                 d2 = np.maximum((away**2).sum(2), 1e-12)
-                g += (2.0 * gamma * p[part, None] / np.maximum(d2 * (1.0 + d2), 1e-18))[:, :, None].__mul__(away).sum(1)
+                g += (2.0 * gamma * w / np.maximum(d2 * (1.0 + d2), 1e-18))[:, :, None].__mul__(away).sum(1)
                 norm = np.sqrt((g**2).sum(1))
                 g *= np.where(norm > c.most_norm, c.most_norm / np.maximum(norm, 1e-300), 1.0)[:, None]
-                move = np.zeros((len(self.rep), y.shape[1]))
-                move[part] = lr * g
-                touched = np.concatenate([self.members[k] for k in part])
-                y[touched] += move[self.group[touched]]
+                part = slice(ends[a], ends[b])
+                y[moved[part]] += lr * g[by[part] - a]
         return y
 
 
