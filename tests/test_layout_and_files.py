@@ -152,3 +152,22 @@ def test_groups_move_one_by_one():
             g *= min(1.0, 10 / np.sqrt((g**2).sum()))
             want[kernel.group == k] += 200 / np.sqrt(1 + epoch / 4) * g
     assert np.abs(got - want).max() <= 1e-6 * np.abs(want).max()
+
+
+def test_large_levels_in_three_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(layout, "LOCAL_EDGES", 1)
+    vertices = spark.createDataFrame([(k, k) for k in range(4)], "id long, gid long")
+    edges = spark.createDataFrame([(a, b, 0.5) for a in range(4) for b in range(4) if a != b], "src long, dst long, w double")
+    rows = [(k, k, 0.1 * k, 0.3 * k * k, 0.2 - k) for k in range(4)]
+    at = spark.createDataFrame(rows, "id long, gid long, x double, y double, z double")
+    config = layout.Config(k=1, dim=3)
+    moved = layout.optimize_level(layout.Level(vertices, edges, 4), at, config, 2, 7.0, 1)
+    assert moved.columns == ["id", "gid", "x", "y", "z"]
+    assert moved.count() == 4 and moved.join(at.select("id", F.col("z").alias("z0")), "id").where("z = z0").isEmpty()
+    # one epoch by hand: 0 is drawn to 1 and pushed off 2, in z as in x and y
+    sample = spark.createDataFrame([(0, 0, 1, [2])], "gid long, i long, j long, negatives array<long>")
+    got = layout.synchronous_epoch(at, edges, sample, 1.0, 7.0, 1e9).where("id = 0").first()
+    y = np.array([r[2:] for r in rows])
+    near, far = ((y[0] - y[1]) ** 2).sum(), ((y[0] - y[2]) ** 2).sum()
+    want = y[0] - (y[0] - y[1]) / (1 + near) + 7 / (far * (1 + far)) * (y[0] - y[2])
+    assert [got["x"], got["y"], got["z"]] == pytest.approx(list(want))

@@ -74,23 +74,24 @@ def prolong(fine: DataFrame, coarse: DataFrame, dim: int = 2) -> DataFrame:
 def synchronous_epoch(layout: DataFrame, edges: DataFrame, samples: DataFrame, rate: float, gamma: float, most_norm: float, direction: str = "ascent") -> DataFrame:
     """One epoch for all groups at once: ``samples(gid, i, j, negatives array)`` move every member of gid.
 
-    ``layout(id, gid, x, y)``.  Only the members of gid move, by the clipped gradient of i.
+    ``layout(id, gid, x, y[, z])``.  Only the members of gid move, by the clipped gradient of i.
     """
-    at = lambda name: layout.select(F.col("id").alias(name), F.col("x").alias(f"{name}x"), F.col("y").alias(f"{name}y"))
+    axes = [c for c in AXES if c in layout.columns]
+    at = lambda name: layout.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}{c}") for c in axes])
+    of = lambda name: [F.col(f"{name}{c}") for c in axes]
     p = edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
     drawn = samples.join(at("i"), "i").join(at("j"), "j").join(p, ["i", "j"], "left").withColumn("w", floored(F.coalesce("w", F.lit(0.0))))
-    xy: list[Column] = [F.col("ix"), F.col("iy")]
-    pos = grad_pos(xy, [F.col("jx"), F.col("jy")], F.col("w"))
-    drawn = drawn.select("gid", "ix", "iy", "w", "negatives", pos[0].alias("gx"), pos[1].alias("gy"))
-    each = drawn.select("gid", "ix", "iy", "w", F.explode("negatives").alias("n")).join(at("n"), "n")
-    neg = grad_neg(xy, [F.col("nx"), F.col("ny")], F.col("w"), gamma)
-    pushed = each.groupBy("gid").agg(F.sum(neg[0]).alias("px"), F.sum(neg[1]).alias("py"))
+    pos = grad_pos(of("i"), of("j"), F.col("w"))
+    drawn = drawn.select("gid", *of("i"), "w", "negatives", *[g.alias(f"g{c}") for c, g in zip(axes, pos, strict=True)])
+    each = drawn.select("gid", *of("i"), "w", F.explode("negatives").alias("n")).join(at("n"), "n")
+    neg = grad_neg(of("i"), of("n"), F.col("w"), gamma)
+    pushed = each.groupBy("gid").agg(*[F.sum(g).alias(f"p{c}") for c, g in zip(axes, neg, strict=True)])
     total = drawn.join(pushed, "gid", "left")
-    g = clipped([F.col("gx") + F.coalesce("px", F.lit(0.0)), F.col("gy") + F.coalesce("py", F.lit(0.0))], most_norm)
+    g = clipped([F.col(f"g{c}") + F.coalesce(f"p{c}", F.lit(0.0)) for c in axes], most_norm)
     sign = rate if direction == "ascent" else -rate
-    moves = total.select("gid", (sign * g[0]).alias("dx"), (sign * g[1]).alias("dy"))
+    moves = total.select("gid", *[(sign * x).alias(f"d{c}") for c, x in zip(axes, g, strict=True)])
     moved = layout.join(moves, "gid", "left")
-    return moved.select("id", "gid", (F.col("x") + F.coalesce("dx", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("dy", F.lit(0.0))).alias("y"))
+    return moved.select("id", "gid", *[(F.col(c) + F.coalesce(f"d{c}", F.lit(0.0))).alias(c) for c in axes])
 
 
 class LevelKernel:
@@ -237,8 +238,6 @@ def _optimize_together(level: Level, layout: DataFrame, config: Config, epochs:
     from vicinal.operators.coarsen import representatives
     from vicinal.operators.sampling import positive_edges
 
-    if config.dim != 2:
-        raise ValueError("levels beyond LOCAL_EDGES are laid out in two dimensions")
     degree = cut(degrees(level.vertices.select("id"), level.edges), "degrees")
     reps = cut(representatives(level.vertices, degree), "representatives")
     pool = cut(negative_pool(degree, level.n), "pool")
