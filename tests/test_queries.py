@@ -40,6 +40,13 @@ def test_recall_of_the_approximate_graph(spark):
     assert QUERIES["approx_knn_recall"](spark, DATA).first()["recall"] >= 0.9
 
 
+def test_layout_query_runs_the_whole_job(spark, monkeypatch):
+    from vicinal.operators import layout
+
+    monkeypatch.setattr(layout, "embed", lambda spark, points, config: config)
+    assert QUERIES["embed_2d"](spark, DATA) == layout.Config()
+
+
 def test_fvecs_roundtrip(spark):
     r = QUERIES["fvecs_roundtrip"](spark, DATA).where("id = 3").first()
     assert r["features"][1] == pytest.approx(0.1 * (3 * 64 + 1), rel=1e-5)

@@ -419,8 +419,9 @@ def objective_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def embed_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = layout.Config(k=15, perplexity=10.0, epochs_coarse=100, epochs_fine=100)
-    return layout.embed(spark, _points(spark, sf_dir), config)
+    points = _points(spark, sf_dir)
+    config = layout.Config(k=max(1, min(layout.Config.k, points.count() - 1)))
+    return layout.embed(spark, points, config)
 
 
 @query()
