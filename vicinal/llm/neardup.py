@@ -8,6 +8,10 @@
    full sets.  Buckets with one pivot form one group, so a pair that meets in many bands is compared once.
 4. What is then in another component than its pivot is compared with all members of the group, block by
    block in workers of bounded memory; only links that join two components come out.
+
+Nodes are numbered by themselves: neither a document's id nor a hash of it has to be unique.  One text of
+each node in a group is written once for both comparisons; a bounded filter keeps the others out of the
+shuffle, at every size by the same plan.
 """
 
 from __future__ import annotations
@@ -19,21 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm.bloom import candidates, flagged, marks
 from vicinal.llm.components import components
 from vicinal.llm.hashing import band_hashes, digest, shingle_set, sketch
 from vicinal.session import cut
 
 #: Shingles of all members that one comparing task takes, and documents on either side of it.
 CHUNK_SHINGLES, LEFT_DOCS, RIGHT_DOCS = 400_000, 256, 2048
-#: Up to so many ids are sent to every executor to filter texts before they are shuffled.
-BROADCAST_IDS = 200_000
 
 
 def _sketches(width: int, bins: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, bands = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingle_set(text.as_py(), width)
                 sizes.append(len(found))
                 keys.append(digest(found))
@@ -41,8 +44,8 @@ def _sketches(width: int, bins: int, rows: int):
             flat = np.frombuffer(b"".join(bands), dtype=np.int64)
             ends = np.cumsum([0] + [len(b) // 8 for b in bands]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["doc_id", "th", "n_shingles", "set_key", "bands"],
             )
 
     return run
@@ -117,48 +120,36 @@ def _compare(width: int, num: int, den: int):
 
 def _verified(tasks: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """``tasks(g, i, j, side, node, label)`` to the links that join components within a task."""
-    ids = cut(tasks.select("node").distinct(), "nodes")
-    if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "node", "left_semi")
     rows = tasks.join(texts, "node").select(F.xxhash64("g", "i", "j").alias("task"), "side", "node", "label", "text")
     rows = rows.repartition("task").sortWithinPartitions("task", "side")
     return cut(rows.mapInArrow(_compare(width, num, den), "a long, b long"), "found")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    *,
-    width: int = 5,
-    num: int = 75,
-    den: int = 100,
-    bins: int = 128,
-    rows: int = 4,
-) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
-    Two documents are linked if ``den * intersection >= num * union`` of their shingle sets (64-bit
-    hashes); component_id is the smallest id reachable.  A text with fewer than ``width`` words is one
-    shingle.  A null, empty or white text has the empty set and no link.  Repeated rows fall together;
-    an id on several different texts stands for one document with all of them.  A row without an id is
-    linked with nothing, has component_id null and is kept.  Columns other than the two aren't read.
-    """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = cut(own.mapInArrow(_sketches(width, bins, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
+
+def classes(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, bins: int, rows: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, th (a hash of the text), n_shingles, and of its class the least (first_id,
+    first_th), both null for a row without an id or words."""
+    own = _rows(docs, id_col, text_col)
+    sets = cut(own.mapInArrow(_sketches(width, bins, rows), "doc_id long, th long, n_shingles long, set_key binary, bands array<long>"), "sketches")
+    nodes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "th", "n_shingles", "bands")).alias("x"))
+    # numbered as they are written, so that the numbers don't change
     nodes = cut(
-        sets.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("set_key")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"))
-        .select("set_key", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), "x.bands"),
-        "sets",
+        nodes.select("set_key", F.monotonically_increasing_id().alias("node"), "x.doc_id", "x.th", F.col("x.n_shingles").alias("n"), "x.bands"), "sets"
     )
     members = nodes.select("node", "n", F.posexplode("bands").alias("band", "value")).select("node", "n", F.xxhash64("band", "value").alias("bucket"))
     buckets = cut(
         members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "pivot"), "buckets"
     )
     groups = cut(members.join(buckets, "bucket").where("node <> pivot").groupBy("pivot", "node").agg(F.min("n").alias("n")), "groups")
-    texts = own.select(F.col("doc_id").alias("node"), "text").where("node is not null")
+    met = groups.select("node").unionByName(groups.select(F.col("pivot").alias("node"))).distinct()
+    met = cut(nodes.select("node", "doc_id", "th").join(met, "node"), "met")
+    # repeated rows fall together before they are joined
+    texts = candidates(own.where("doc_id is not null"), marks(met, "doc_id", "th"), "doc_id", "th").groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    texts = cut(texts.join(met.hint("merge"), ["doc_id", "th"]).select("node", "text"), "texts")
 
     extent = groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("s"), F.sum("n").alias("t"))
     chunks = F.greatest(F.ceil(F.col("s") / RIGHT_DOCS), F.ceil(F.col("t") / CHUNK_SHINGLES)).cast("int")
@@ -203,9 +194,67 @@ def near_duplicates(
     more = _verified(cut(right.unionByName(left), "tasks"), texts, width, num, den)
     if not more.isEmpty():
         label = components(links.unionByName(more))
-    label = label.select("node", "label")
-    classes = nodes.select("set_key", "node").join(label, "node", "left").select("set_key", F.coalesce("label", "node").alias("class"))
-    # an id on several texts stands in several classes: the least of them, and of theirs, is its own
-    found = sets.drop("bands").join(cut(classes, "classes"), "set_key", "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("class"))
+    label = label.select(F.col("node").alias("l_node"), "label")
+    found = nodes.select("set_key", "node", "doc_id", "th").join(label, F.col("node") == F.col("l_node"), "left")
+    found = cut(found.select("set_key", "doc_id", "th", F.coalesce("label", "node").alias("class")), "classes")
+    first = found.groupBy("class").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    found = found.select("set_key", "class").join(first, "class").select(F.col("set_key").alias("c_key"), "first")
+    has = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    joined = sets.drop("bands").join(cut(found, "firsts"), has & (F.col("set_key") == F.col("c_key")), "left")
+    return joined.select("doc_id", "th", "n_shingles", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    width: int = 5,
+    num: int = 75,
+    den: int = 100,
+    bins: int = 128,
+    rows: int = 4,
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id and kept (doc_id is component_id).
+
+    Two rows are linked if ``den * intersection >= num * union`` of their shingle sets (64-bit hashes);
+    component_id is the smallest id of a row that is reachable.  A text with fewer than ``width`` words is
+    one shingle.  A null, empty or white text has the empty set and no link.  Every row stands for itself:
+    one id on different texts is as several documents, each in its own text's component, and repeated rows
+    fall together.  A row without an id is linked with nothing, has component_id null and is kept.  A text
+    of any length is hashed as a whole, in memory of some ten times its size.  Columns other than the two
+    aren't read.
+    """
+    found = classes(docs, id_col, text_col, width, num, den, bins, rows)
+    component = F.coalesce("first_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, num: int = 75, den: int = 100, bins: int = 128, rows: int = 4
+) -> DataFrame:
+    """The rows of ``docs`` of which one of each component stays: that of the least id, and of the least hash
+    of its text where one id has several; one row of those that repeat it.
+
+    Rows without an id or a word, which are linked with nothing, all stay.
+    """
+    found = classes(docs, id_col, text_col, width, num, den, bins, rows).where("first_id is not null")
+    found = cut(found.groupBy("doc_id", "th", "first_id", "first_th").agg(F.count(F.lit(1)).alias("c")), "members")
+    stays = (F.col("doc_id") == F.col("first_id")) & (F.col("th") == F.col("first_th"))
+    key = [F.col(id_col).cast("long").alias("__d"), F.xxhash64(F.col(text_col).cast("string")).alias("__t")]
+    keyed = docs.select("*", *key)
+
+    def apart(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        """``rows`` with or without a partner; those that surely have none aren't sent."""
+        keys = cut(keys.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")), "keys")
+        marked = flagged(rows, marks(keys, "k_id", "k_th"), "__d", "__t")
+        sent = marked.where("f_maybe").drop("f_maybe")
+        sent = sent.join(keys.hint("merge"), (F.col("__d") == F.col("k_id")) & (F.col("__t") == F.col("k_th")), how)
+        return sent if how == "left_semi" else sent.unionByName(marked.where("not f_maybe").drop("f_maybe"))
+
+    left = apart(keyed, found.where(~stays), "left_anti")
+    repeated = found.where(stays).where("c > 1")
+    if not repeated.isEmpty():  # else there is nothing to fall together
+        once = apart(left, repeated, "left_semi").dropDuplicates(["__d", "__t"])
+        left = apart(left, repeated, "left_anti").unionByName(once)
+    return left.drop("__d", "__t")
