@@ -11,15 +11,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm.hashing import shingle_hashes, word_hashes
+from vicinal.session import cut
 
 LABELLERS = ("case", "symbols", "shouting", "repeats", "common", "length", "endings", "size")
-#: Documents, about, that the scorer is fitted to; and its hashed weights.
-SAMPLE_DOCS, BUCKETS = 6000, 1 << 17
+#: Documents, about, that the scorer is fitted to, entries of feature counts of them at most, and hashed weights.
+SAMPLE_DOCS, SAMPLE_ENTRIES, BUCKETS = 6000, 8_000_000, 1 << 17
 # Common words of the languages.
 COMMON = "the of and to in a is that it for on was der die und den zu das mit le la les de et des en un une du que el los y se".split()
 
@@ -100,18 +102,22 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([(words & low).astype(np.int32), shapes, BUCKETS - 2 + again])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.05, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer over mean features; both classes weigh the same."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.05, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer over mean features; both classes weigh the same.
+
+    ``rows``: (buckets, counts) of each document.
+    """
     rng = np.random.default_rng(seed)
     weights, bias = np.zeros(BUCKETS), 0.0
     m, v, mb, vb, t = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, 0
     share = np.clip(labels.mean() if len(labels) else 0.5, 0.02, 0.98)
-    rows_at = np.array([k for k, r in enumerate(rows) if len(r)], dtype=np.int64)
+    rows_at = np.array([k for k, r in enumerate(rows) if len(r[0])], dtype=np.int64)
     for _ in range(epochs if len(rows_at) else 0):
         for part in np.array_split(rng.permutation(rows_at), -(-len(rows_at) // 64)):
-            flat = np.concatenate([rows[k] for k in part])
-            sizes = np.array([len(rows[k]) for k in part])
-            of, scale = np.repeat(np.arange(len(part)), sizes), 3.0 / np.repeat(sizes, sizes)
+            flat = np.concatenate([rows[k][0] for k in part])
+            counts = np.concatenate([rows[k][1] for k in part])
+            of = np.repeat(np.arange(len(part)), [len(rows[k][0]) for k in part])
+            scale = 3.0 * counts / np.bincount(of, weights=counts)[of]
             z = np.bincount(of, weights=weights[flat] * scale, minlength=len(part)) + bias
             y = labels[part]
             error = (1 / (1 + np.exp(-z)) - y) * np.where(y >= 0.5, 0.5 / share, 0.5 / (1 - share)) / len(part)
@@ -137,9 +143,34 @@ def _map_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _map_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(text.as_py()) for text in batch.column(1)]
+        rows = [np.unique(features(text.as_py()), return_counts=True) for text in batch.column(1)]
         codes = [_code(text.as_py()) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["pattern", "features"])
+        buckets, counts = ([r[k].astype(np.int32).tobytes() for r in rows] for k in (0, 1))
+        sizes = pa.array([len(r[0]) for r in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(codes, pa.int32()), sizes, pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())],
+            names=["h", "pattern", "size", "buckets", "counts"],
+        )
+
+
+def _sampled(own: DataFrame, total: int, sample_docs: int, entries: int) -> pd.DataFrame:
+    """About ``sample_docs`` different texts by the least hash, and of them no more than ``entries`` allow.
+
+    Where texts repeat so often that a share gives none, a larger share is drawn.
+    """
+    share = sample_docs / max(1, total)
+    while True:
+        h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+        bound = min((1 << 63) - 1, int(share * (1 << 63)))
+        # one id may stand on many rows: the draw by text, too, keeps such a group's share bounded
+        drawn = own.select(h.alias("h"), "text").where(F.col("h") <= bound).dropDuplicates(["h"])
+        drawn = cut(drawn.mapInArrow(_map_features, "h long, pattern int, size long, buckets binary, counts binary"), "sample")
+        sizes = drawn.select("h", "size").orderBy("h").limit(4 * sample_docs).toPandas()
+        if len(sizes) or share >= 1 or not total:
+            break
+        share *= 16
+    fits = sizes["h"][(sizes["size"].cumsum() <= entries) & (sizes.index < 2 * sample_docs)]
+    return drawn.where(F.col("h") <= (int(fits.iloc[-1]) if len(fits) else -1)).toPandas().sort_values("h")
 
 
 def _map_scores(weights: np.ndarray, bias: float, posterior: dict[int, float]):
@@ -160,23 +191,19 @@ def _map_scores(weights: np.ndarray, bias: float, posterior: dict[int, float]):
 def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Per row of ``docs``: doc_id, weak_score (posterior of its votes), score (the scorer's) and kept.
 
-    kept is a score of 0.5 or more; a text without words has a score of 0.  The sample is those documents
-    whose hashed id falls under a share that gives about ``sample_docs`` rows.  Repeated rows and null ids
-    are kept as rows of their own; an empty table gives an empty result.  Other columns aren't read.
+    kept is a score of 0.5 or more; a text without words has a score of 0.  The scorer is fitted to about
+    ``sample_docs`` documents, drawn by a hash of id and text, of any table.  A text of any length is read
+    as a whole.  Repeated rows and null ids are kept as rows of their own, and rows that are alike have one
+    score; an empty table gives an empty result.  Other columns aren't read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counted = own.mapInArrow(_map_votes, "doc_id long, pattern int").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counted = counted.sort_values("pattern")
     patterns = np.array([[p // 3**k % 3 - 1 for k in range(len(LABELLERS))] for p in counted["pattern"]]).reshape(-1, len(LABELLERS))
     good = expectation_maximisation(patterns, counted["n"].to_numpy(float)) if len(patterns) else np.empty(0)
     posterior = dict(zip(counted["pattern"].tolist(), good.tolist(), strict=True))
-    total = int(counted["n"].sum())
-    # one id may stand on many rows: the second draw, by text, keeps such a group's share bounded
-    share = min(1.0, sample_docs / max(1, total))
-    drawn = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id", "text"])
-    sample = drawn.select("doc_id", "text").mapInArrow(_map_features, "pattern int, features binary").toPandas()
-    order = sample["features"].map(bytes).argsort(kind="stable") if len(sample) else []
-    rows = [np.frombuffer(sample["features"].iloc[k], dtype=np.int32) for k in order]
-    labels = np.array([posterior[sample["pattern"].iloc[k]] for k in order])
-    weights, bias = fit(rows, labels)
+    sample = _sampled(own, int(counted["n"].sum()), sample_docs, SAMPLE_ENTRIES)
+    rows = [tuple(np.frombuffer(bytes(x), dtype=np.int32) for x in pair) for pair in zip(sample["buckets"], sample["counts"], strict=True)]
+    weights, bias = fit(rows, np.array([posterior[p] for p in sample["pattern"]]))
     scored = own.mapInArrow(_map_scores(weights, bias, posterior), "doc_id long, weak_score double, score double")
     return scored.withColumn("kept", F.col("score") >= 0.5)
