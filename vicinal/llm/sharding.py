@@ -2,26 +2,31 @@
 
 Each shard has virtual nodes on a ring of 64-bit hashes; a key belongs to the first node clockwise.  A
 shard's load is bounded by its exact share (counts at most one apart); keys beyond it, the last of their
-arc, go on clockwise to the first shard with room.  Only counts of small pieces of the ring, at most
-CELLS + shards * nodes of them, are worked on by the driver; rows are numbered within their piece.
+arc, go on clockwise to the first shard with room.
+
+Rows that are alike are counted, not moved.  An arc is cut into PARTS by a hash of id, size and checksum,
+so that neither an id on very many texts nor a row that is repeated very often lies in one task; its rows
+stand in order of part, place and row.  The driver works on the counts of at most shards * nodes * PARTS
+pieces, whatever the table's size.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
-from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.session import cut
 
-#: Equal cells of the ring; rows are ranked within a cell, so no task sorts more than about 1/CELLS of them.
+#: Equal cells of the ring, by which the arc of a place is looked up.
 CELL_BITS = 12
 NODES = 128
-#: A cell with more than so many times its share of the rows (an id that is repeated very often) is cut up.
-HOT_SHARE, HOT_PIECES = 8, 64
+#: Parts of each arc; a task ranks the rows of whole parts.
+PARTS = 16
+#: Rows that are alike and are written out by one task, of which there may be more.
+ALIKE = 100_000
 
 
 def ring(shards: int, nodes: int = NODES) -> list[tuple[int, int]]:
@@ -68,9 +73,10 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     """Per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``rows``: counts of shards are at most one apart, slots are gapless from 0.  Size is the
-    UTF-8 bytes of the text (null: none) plus 16, and a null text has the checksum of an empty one.  Rows
-    with one id, or none, stand at one place of the ring and may part where a shard is full.  Equal texts
-    have no part in it.  An empty table gives an empty result.  Other columns aren't read.
+    UTF-8 bytes of the text (null: none; any length) plus 16, and a null text has the checksum of an empty
+    one.  Rows with one id, or none, stand at one place of the ring and may part where a shard is full.
+    Equal texts have no part in it.  An empty table gives an empty result.  Other columns aren't read.  The
+    result is the same whatever the files, partitions or size.
     """
     spark = docs.sparkSession
     circle = ring(shards, nodes)
@@ -80,44 +86,27 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
         F.col(id_col).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-    ).withColumn("at", F.xxhash64("doc_id"))
-    cell = F.shiftright("at", 64 - CELL_BITS).cast("int")
-    # arcs of a cell, told by how many nodes of the cell lie before the row's place
-    inside: dict[int, list[int]] = defaultdict(list)
-    for p in ends:
-        inside[p >> (64 - CELL_BITS)].append(p)
-    bounds = spark.createDataFrame(sorted((c, ps) for c, ps in inside.items()), "b_cell int, bounds array<long>")
-    rows = cut(rows.withColumn("cell", cell), "rows")
-    rows = rows.join(F.broadcast(bounds), F.col("cell") == F.col("b_cell"), "left")
-    step = F.coalesce(F.size(F.filter("bounds", lambda p: p < F.col("at"))), F.lit(0))
-    rows = rows.select("doc_id", "size", "text_crc32", "at", "cell", F.greatest(step, F.lit(0)).alias("step"))
-    counts = {(r["cell"], r["step"]): r["n"] for r in rows.groupBy("cell", "step").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    by_cell: dict[int, int] = defaultdict(int)
-    for (c, _), n in counts.items():
-        by_cell[c] += n
-    hot = [c for c, n in by_cell.items() if n > max(10_000, HOT_SHARE * total >> CELL_BITS)]
-    part = F.lit(0)
-    if hot:  # at most 2 ** CELL_BITS / HOT_SHARE cells
-        part = F.when(F.col("cell").isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PIECES))).otherwise(0).cast("int")
-        rows = cut(rows.withColumn("part", part), "rows")
-        counts = {(r["cell"], r["step"], r["part"]): r["n"] for r in rows.groupBy("cell", "step", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    else:
-        rows = rows.withColumn("part", part)
-        counts = {(*k, 0): n for k, n in counts.items()}
-    keys = sorted(counts)
-    first_node = {c: bisect.bisect_left(ends, c << (64 - CELL_BITS)) for c in by_cell}
-    pieces = [((first_node[c] + s) % len(ends), k, counts[c, s, p]) for k, (c, s, p) in enumerate(keys)]
-    runs = [(*keys[k], a, b, shard, slot) for k, a, b, shard, slot in place(pieces, owners, shards)]
-    table = spark.createDataFrame(runs, "r_cell int, r_step int, r_part int, lo long, hi long, shard int, base long")
-    ranked = rows.selectExpr(
-        "*", "row_number() over (partition by cell, step, part order by at, doc_id, size, text_crc32) - 1L as rank"
     )
-    found = ranked.join(
-        F.broadcast(table),
-        (F.col("cell") == F.col("r_cell")) & (F.col("step") == F.col("r_step")) & (F.col("part") == F.col("r_part")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")),
-    )
-    return found.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
-        (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.xxhash64("doc_id"))
+    # the arc of a place: nodes before its cell, and those of its cell before the place
+    cells = range(-(1 << CELL_BITS - 1), 1 << CELL_BITS - 1)
+    first = [bisect.bisect_left(ends, c << (64 - CELL_BITS)) for c in cells] + [len(ends)]
+    bounds = spark.createDataFrame([(c, first[k], ends[first[k] : first[k + 1]]) for k, c in enumerate(cells)], "cell int, node int, bounds array<long>")
+    rows = rows.withColumn("cell", F.shiftright("at", 64 - CELL_BITS).cast("int")).join(F.broadcast(bounds), "cell")
+    arc = (F.col("node") + F.size(F.filter("bounds", lambda p: p < F.col("at")))) % len(ends)
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "size", "text_crc32"), F.lit(PARTS)).cast("int")
+    rows = cut(rows.select("doc_id", "size", "text_crc32", "n", "at", arc.cast("int").alias("arc"), part.alias("part")), "rows")
+    counts = {(r["arc"], r["part"]): r["n"] for r in rows.groupBy("arc", "part").agg(F.sum("n").alias("n")).collect()}
+    keys = sorted(counts)
+    runs = [(*keys[k], a, b, shard, slot) for k, a, b, shard, slot in place([(arc, k, counts[arc, p]) for k, (arc, p) in enumerate(keys)], owners, shards)]
+    table = spark.createDataFrame(runs, "r_arc int, r_part int, lo long, hi long, shard int, base long")
+    upto = "sum(n) over (partition by arc, part order by at, doc_id, size, text_crc32 rows between unbounded preceding and current row)"
+    ranked = rows.selectExpr("*", f"{upto} as upto").withColumn("rank", F.col("upto") - F.col("n"))
+    # at most shards * nodes * PARTS + shards rows
+    met = ranked.join(F.broadcast(table), (F.col("arc") == F.col("r_arc")) & (F.col("part") == F.col("r_part")) & (F.col("upto") > F.col("lo")) & (F.col("rank") < F.col("hi")))
+    begin = F.greatest("rank", "lo")
+    met = met.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + begin - F.col("lo")).alias("slot"), (F.least("upto", "hi") - begin).alias("n"))
+    many = met.where(F.col("n") > ALIKE).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / ALIKE))))
+    many = many.withColumn("slot", F.col("slot") + F.col("c") * ALIKE).withColumn("n", F.least(F.lit(ALIKE), F.col("n") - F.col("c") * ALIKE)).drop("c").repartition("shard", "slot")
+    every = met.where(F.col("n") <= ALIKE).unionByName(many).withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1)))
+    return every.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
