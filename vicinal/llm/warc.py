@@ -29,7 +29,9 @@ def _record_id(page_id: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, folder: str, *, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """One record for each row.  A null html is an empty payload, a null url an empty target.
+    """One record for each row.  A null html is an empty payload, a null url an empty target; line ends in a
+    url stand as %0D and %0A.  A payload of any length is stored as a whole.  Repeated rows are the same
+    record, written as often.
 
     Of records with equal payloads of ``least_bytes`` or more, those with the smallest page_id are
     responses (repeated rows alike) and all others revisit it; a null page_id comes last.
@@ -53,7 +55,7 @@ def write_archive(pages: DataFrame, folder: str, *, least_bytes: int = 0, id_col
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"))),
         F.lit(f"WARC-Date: {DATE}"),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", "")),
+        F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("response_id")))),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
@@ -103,10 +105,15 @@ def parse_records(records: DataFrame) -> DataFrame:
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write ``pages`` as an archive, read it back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write ``pages`` as an archive, read it back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A payload whose digest isn't the one that its header declares is an error.  See ``write_archive`` for odd
+    rows; an empty table gives an empty result, and other columns aren't read.
+    """
     folder = folder or new_dir(pages.sparkSession, "warc")
     write_archive(pages, folder)
     parsed = parse_records(read_archive(pages.sparkSession, folder))
-    return parsed.select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to"
-    )
+    parsed = parsed.withColumn("payload_digest", base32(F.sha1("payload")))
+    unsound = F.raise_error(F.lit("a payload doesn't fit the digest in its header")).cast("string")
+    digest = F.when(F.col("declared_digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(unsound)
+    return parsed.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
