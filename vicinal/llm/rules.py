@@ -36,12 +36,14 @@ def _hits(k: int) -> Column:
 
 
 def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """The base counts, and c0.. and w0.., the histograms' shares rounded to three places."""
+    """The base counts, and c0.. and w0.., the histograms' shares rounded to three places; and ``row``, a
+    struct of all columns of ``docs``."""
     text = F.col(text_col).cast("string")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(row, F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
     every = sorted({w for words in COMMON.values() for w in words})
     d = d.select(
-        "doc_id", "lang", "text",
+        "row", "doc_id", "lang", "text",
         F.filter(F.split("text", f"{WHITE}+", -1), lambda w: w != "").alias("ws"),
         F.regexp_replace("text", r"[\p{Ll}\x20\x09-\x0D]+", "").alias("rest"),
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
@@ -55,7 +57,7 @@ def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     for lang, words in COMMON.items():
         own = F.when(F.col("lang") == lang, F.array(*map(F.lit, words))).otherwise(own)
     d = d.select(
-        "doc_id", "lang",
+        "row", "doc_id", "lang",
         F.size("ws").cast("long").alias("n_words"),
         F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -87,7 +89,7 @@ def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     hist = [*[share(n, chars) for n in judged], share(F.col("n_rest") - known, chars), share(chars - F.col("n_rest"), chars)]
     hits = [_hits(k) for k in range(N_WORD - 1)]
     d = d.select(
-        "doc_id", "lang", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"), "n_dup_lines",
+        "row", "doc_id", "lang", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"), "n_dup_lines",
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         *[h.alias(f"c{k}") for k, h in enumerate(hist)],
         *[F.when(F.col("own").isNotNull(), share(h, words)).alias(f"w{k}") for k, h in enumerate(hits)],
@@ -117,10 +119,21 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base_failed, char_divergence, word_divergence (null where not judged) and kept.
 
     A null or empty text has zero counts and fails the base rules.  A null or unknown language is judged
-    by characters against the documents of the same language value, by words not at all.  Repeated rows
-    and null ids are kept as rows of their own.  Other columns aren't read.
+    by characters against the documents of the same language value, by words not at all.  A text of any
+    length is judged as a whole; its words and windows are arrays in one row.  Repeated rows and null ids
+    are kept as rows of their own.  Other columns aren't read.
     """
-    d = cut(counts(docs, id_col, text_col, lang_col), "counts")
+    return _judged(cut(counts(docs, id_col, text_col, lang_col).drop("row"), "counts")).drop("lang")
+
+
+def passed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.  Rows are written with their
+    counts once and not shuffled."""
+    return _judged(cut(counts(docs, id_col, text_col, lang_col), "counts")).where("kept").select("row.*")
+
+
+def _judged(d: DataFrame) -> DataFrame:
+    """``counts`` with the verdict; ``d`` is read twice."""
     sides = [("c", N_CHAR, LEAST_CHAR_WORDS, MOST_CHAR), ("w", N_WORD, LEAST_WORD_WORDS, MOST_WORD)]
     medians = [
         F.percentile(F.when(~F.col("base_failed") & (F.col("n_words") >= least), F.col(f"{side}{k}")), 0.5).alias(f"{side}{k}_ref")
@@ -128,15 +141,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for k in range(n)
     ]
     refs = cut(d.groupBy(F.col("lang").alias("ref_lang")).agg(*medians), "references")
+    columns = [c for c in d.columns if c not in {f"{side}{k}" for side, n, _, _ in sides for k in range(n)}]
     d = d.join(refs, d.lang.eqNullSafe(refs.ref_lang), "left")
     far = {
         side: F.when(F.col("n_words") >= least, divergence(F.array(*[f"{side}{k}" for k in range(n)]), F.array(*[f"{side}{k}_ref" for k in range(n)])))
         for side, n, least, _ in sides
     }
-    d = d.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        far["c"].alias("char_divergence"), far["w"].alias("word_divergence"),
-    )
+    d = d.select(*columns, far["c"].alias("char_divergence"), far["w"].alias("word_divergence"))
     slack = SLACK / F.greatest("n_words", F.lit(1))
     within = F.lit(True)
     for side, _, _, most in sides:

@@ -104,8 +104,9 @@ _counters: dict[str, UnigramCounter] = {}
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id and n_tokens.
 
-    A null or empty text has 0 tokens; a text of spaces has one or more for each.  Repeated rows and null
-    ids are kept; other columns aren't read.  ``path`` must exist where the workers run.
+    A null or empty text has 0 tokens; a text of spaces has one or more for each.  A text of any length is
+    counted as a whole, word by word.  Repeated rows and null ids are kept; an empty table gives an empty
+    result, and other columns aren't read.  ``path`` must exist where the workers run.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
