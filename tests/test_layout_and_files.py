@@ -93,6 +93,30 @@ def test_layout_files(spark, tmp_path):
     assert files.read_labels(spark, str(tmp_path / "none.npy")) is None
 
 
+def test_vectors_of_a_table(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(70, 6)).astype("f4")
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<float>").repartition(4)
+    for name in ("x.f32", "x.fvecs"):
+        assert files.write_vectors(table, str(tmp_path / name)) == 70
+    assert np.array_equal(np.fromfile(tmp_path / "x.f32", "<f4").reshape(70, 6), x)
+    for back in (files.read_matrix(spark, str(tmp_path / "x.f32"), 6), files.read_vectors(spark, str(tmp_path / "x.fvecs"), 70, 6)):
+        assert np.array_equal(np.array([r["features"] for r in back.orderBy("id").collect()], "f4"), x)
+    with pytest.raises(ValueError):
+        files.read_matrix(spark, str(tmp_path / "x.f32"), 11)
+    with pytest.raises(ValueError):
+        files.write_vectors(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "id long, features array<float>"), str(tmp_path / "bad.f32"))
+
+
+def test_cluster_scores_and_pvalue(spark):
+    flat = spark.createDataFrame([(i, [float(i // 10) * 50 + 0.1 * (i % 10), 0.1 * (i % 3)]) for i in range(30)], "id long, v array<double>")
+    row = evaluate.cluster_scores(flat, (3,)).first()
+    assert row["silhouette_3"] > 0.9 and row["min_cluster_size_3"] == 10 and row["cluster_imbalance_3"] == 1.0
+    assert evaluate.two_sided(0.0, 100) == 1.0 and evaluate.two_sided(0.2, 1000) < 1e-9 and evaluate.two_sided(None, 5) is None
+    assert evaluate.two_sided(0.05, 1000) == pytest.approx(0.114, abs=0.001)
+    truth = flat.select("id", F.col("v")[0].alias("value"))
+    assert evaluate.with_pvalue(evaluate.spearman(flat, truth)).first()["correlation_pvalue"] < 1e-6
+
+
 def test_runs(spark, tmp_path):
     path = tmp_path / "results.json"
     path.write_text('[{"success": true, "test_id": "K_30", "m": 1.5, "config": {"K": 30}}, {"success": false, "test_id": "x", "config": {"K": 50}}]')
@@ -104,31 +128,45 @@ def test_negatives_of_large_levels(spark):
     n, groups = 200_000, 300_000
     degree = spark.range(n).select("id", (F.col("id") % 2 + 1).alias("degree"))
     pool = layout.negative_pool(degree, n).cache()
-    base = spark.range(groups).select(F.col("id").alias("gid"), (F.col("id") % n).alias("i"), F.lit(1).cast("long").alias("j"))
-    found = layout.with_negatives(base, pool, 5, "1:0").cache()
+    base = spark.range(groups).select(F.lit(0).alias("epoch"), F.col("id").alias("gid"), F.col("id").alias("i"), F.lit(1).cast("long").alias("j"))
+    found = layout.with_negatives(base, pool, 5, 1).cache()
     assert found.count() == groups and found.where("size(negatives) <> 5 or array_contains(negatives, j)").isEmpty()
     drawn = found.select(F.explode("negatives").alias("n"))
     by = {r["d"]: (r["c"], r["v"]) for r in drawn.groupBy((F.col("n") % 2 + 1).alias("d")).agg(F.count("n").alias("c"), F.count_distinct("n").alias("v")).collect()}
-    # a step is shared by degree, and nearly every vertex is met: 65,536 at most with one vertex a step
+    # a step is shared by degree, and nearly every vertex is met
     assert by[2][0] / by[1][0] == pytest.approx(2, rel=0.02) and by[1][1] + by[2][1] > 199_000
     # what equals j is drawn again among the others, by their degrees
     three = layout.negative_pool(spark.createDataFrame([(1, 6), (2, 1), (3, 3)], "id long, degree long"), 3)
-    met = {r["n"]: r["count"] for r in layout.with_negatives(base.limit(20_000), three, 5, "1:0").select(F.explode("negatives").alias("n")).groupBy("n").count().collect()}
+    met = {r["n"]: r["count"] for r in layout.with_negatives(base.limit(20_000), three, 5, 1).select(F.explode("negatives").alias("n")).groupBy("n").count().collect()}
     assert 1 not in met and met[2] + met[3] == 100_000 and met[3] / met[2] == pytest.approx(3, rel=0.05)
-    assert layout.with_negatives(base, three, 0, "1:0").where("size(negatives) > 0").isEmpty()
-
-
-def test_large_levels_move_groups_without_an_edge(spark, monkeypatch):
-    monkeypatch.setattr(layout, "LOCAL_EDGES", 1)
-    vertices = spark.createDataFrame([(k, k) for k in range(4)], "id long, gid long")
-    edges = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5), (1, 2, 0.5), (2, 1, 0.5)], "src long, dst long, w double")
-    at = spark.createDataFrame([(k, k, 0.01 * k, 0.02 * k * k) for k in range(4)], "id long, gid long, x double, y double")
-    config = layout.Config(k=1)
-    moved = layout.optimize_level(layout.Level(vertices, edges, 4), at, config, 2, 7.0, 1).join(at.select("id", F.col("x").alias("x0")), "id")
-    assert moved.count() == 4 and moved.where("x = x0").isEmpty()
-
-
-def test_groups_move_one_by_one():
+    assert layout.with_negatives(base, three, 0, 1).where("size(negatives) > 0").isEmpty()
+
+
+@pytest.mark.parametrize("dim", [2, 3])
+def test_where_epochs_run_changes_nothing(spark, monkeypatch, dim):
+    """A level with groups of several members and a vertex without an edge, in one task and as joins."""
+    rng = np.random.default_rng(5)
+    n, axes = 40, list("xyz"[:dim])
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, n - 1, (90, 2)) if a != b}
+    weight = {frozenset(p): float(rng.random()) for p in pairs}
+    edges = spark.createDataFrame(sorted({(a, b, weight[frozenset((a, b))]) for x, y in pairs for a, b in ((x, y), (y, x))}), "src long, dst long, w double")
+    vertices = spark.createDataFrame([(k, k // 3 if k < n - 1 else 99) for k in range(n)], "id long, gid long")
+    at = spark.createDataFrame([(k, k // 3 if k < n - 1 else 99, *map(float, rng.normal(size=dim))) for k in range(n)], "id long, gid long, " + ", ".join(f"{c} double" for c in axes))
+    config = layout.Config(k=3, dim=dim)
+    found = []
+    for most in (0, layout.LOCAL_EDGES):
+        monkeypatch.setattr(layout, "LOCAL_EDGES", most)
+        monkeypatch.setattr(layout, "DRAWN_EPOCHS", 2)
+        moved = layout.optimize_level(layout.Level(vertices, edges, n), at, config, 3, 7.0, 11)
+        assert moved.columns == ["id", "gid", *axes]
+        found.append(np.array([[r[c] for c in axes] for r in moved.orderBy("id").collect()]))
+    assert np.abs(found[0] - found[1]).max() <= 1e-9 * np.abs(found[0]).max()
+    before = np.array([[r[c] for c in axes] for r in at.orderBy("id").collect()])
+    assert (found[0] != before).any(axis=1).all()
+
+
+def test_epochs_like_brute_force():
+    """Groups move at once, by the gradient of their representative from where all stood."""
     rng = np.random.default_rng(7)
     n = 90
     src, dst = np.nonzero(rng.random((n, n)) < 0.1)
@@ -138,19 +176,18 @@ def test_groups_move_one_by_one():
     want = rng.normal(size=(n, 2))
     got = kernel.run(want.copy(), 4, 7.0, 3)
     for epoch in range(4):
-        draw = np.random.Generator(np.random.Philox(key=3, counter=epoch << 64))
-        order = draw.permutation(len(kernel.rep))
-        j, p, negative = kernel._draws(draw)
-        for k in order:
-            i = kernel.rep[k]
-            to = want[i] - want[j[k]]
+        j, p, negative = kernel.draws(epoch, 3)
+        was = want.copy()
+        for k, i in enumerate(kernel.rep):
+            to = was[i] - was[j[k]]
             g = -2 * p[k] * to / (1 + max((to**2).sum(), 1e-12))
             for m in negative[k]:
-                away = want[i] - want[m]
+                away = was[i] - was[m]
                 d2 = max((away**2).sum(), 1e-12)
                 g = g + 14 * p[k] / max(d2 * (1 + d2), 1e-18) * away
             g *= min(1.0, 10 / np.sqrt((g**2).sum()))
             want[kernel.group == k] += 200 / np.sqrt(1 + epoch / 4) * g
+        assert all(j[k] in dst[src == i] and j[k] not in negative[k] for k, i in enumerate(kernel.rep) if (src == i).any())
     assert np.abs(got - want).max() <= 1e-6 * np.abs(want).max()
 
 

@@ -1,17 +1,24 @@
-"""Multilevel coarsening of a weighted graph: greedy groups, contracted edges, representatives."""
+"""Multilevel coarsening of a weighted graph: greedy groups, contracted edges, representatives.
+
+Groups form in rounds of offers.  In each round a hash of (seed, round, id) makes one free vertex in
+``pull`` + 1 a seed; every other free vertex offers itself to its heaviest free seed, and a seed takes its
+``pull`` heaviest offers.  A vertex without a free neighbour is a group of its own.  Small levels run the
+same rounds in one task, with the same result.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.operators.sampling import hashed
-from vicinal.session import cut
+from vicinal.functions.draws import uniform, uniform_column
+from vicinal.session import cut, drop
 
-#: Edges up to which one task groups a level in order; beyond it groups form in rounds over all executors.
+#: Edges up to which one task runs a level's rounds; beyond it they run over all executors, with the same result.
 LOCAL_EDGES = 2_000_000
 
 
@@ -24,61 +31,73 @@ class Level:
     n: int
 
 
-def in_order(edges_of: dict[int, list[int]], order: list[int], pull: int) -> dict[int, int]:
-    """Each vertex in order, if free, takes up to ``pull`` free neighbours in order of adjacency."""
-    group: dict[int, int] = {}
-    made = 0
-    for v in order:
-        if v in group:
-            continue
-        group[v], taken = made, 0
-        for u in edges_of.get(v, ()):
-            if taken >= pull:
-                break
-            if u not in group:
-                group[u] = made
-                taken += 1
-        made += 1
-    return group
+def offers(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, pull: int, seed: int) -> np.ndarray:
+    """The group of each of the sorted ``ids``, named by its seed's id."""
+    s, d = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    order = np.lexsort((d, -w, s))
+    s, d, w = s[order], d[order], w[order]
+    gid, free, step = np.full(len(ids), -1), np.ones(len(ids), bool), 0
+    while free.any():
+        live = free[s] & free[d]
+        s, d, w = s[live], d[live], w[live]
+        alone = free.copy()
+        alone[s] = alone[d] = False
+        gid[alone] = np.flatnonzero(alone)
+        free[alone] = False
+        chosen = free & (uniform(seed, step, ids) < 1.0 / (pull + 1))
+        offered = np.flatnonzero(~chosen[s] & chosen[d])
+        offered = offered[np.concatenate(([True], s[offered][1:] != s[offered][:-1]))[: len(offered)]]
+        a, b = s[offered], d[offered]
+        by = np.lexsort((a, -w[offered], b))
+        a, b = a[by], b[by]
+        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))[: len(b)])
+        rank = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b))))
+        a, b = a[rank < pull], b[rank < pull]
+        gid[a], gid[b] = b, b
+        free[a] = free[b] = False
+        step += 1
+    return ids[gid]
 
 
 def _grouped_locally(vertices: DataFrame, edges: DataFrame, pull: int, seed: int) -> DataFrame:
-    ordered = vertices.select("id", hashed(seed, F.col("id")).alias("h"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("w"))
-    linked = edges.select(F.col("src").alias("id"), F.lit(None).cast("string").alias("h"), "dst", "w")
+    none = F.lit(None)
+    both = vertices.select("id", none.cast("long").alias("dst"), none.cast("double").alias("w")).unionByName(edges.select(F.col("src").alias("id"), "dst", "w"))
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        order = table[table["h"].notna()].sort_values(["h", "id"])["id"].tolist()
-        links = table[table["h"].isna()].sort_values(["id", "w", "dst"], ascending=[True, False, True])
-        near = {int(k): g.astype("int64").tolist() for k, g in links.groupby("id")["dst"]}
-        group = in_order(near, order, pull)
-        return pd.DataFrame({"id": list(group.keys()), "gid": list(group.values())}, dtype="int64")
+        own = table["dst"].isna()
+        ids, e = np.sort(table.loc[own, "id"].to_numpy(np.int64)), table[~own]
+        return pd.DataFrame({"id": ids, "gid": offers(ids, e["id"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), e["w"].to_numpy(float), pull, seed)})
 
     # bounded by LOCAL_EDGES
-    return ordered.unionByName(linked).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id long, gid long")
+    return both.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id long, gid long")
 
 
 def _grouped_in_rounds(vertices: DataFrame, edges: DataFrame, pull: int, seed: int) -> DataFrame:
-    """Free vertices of the least hash among free neighbours are seeds; a free neighbour goes to its
-    heaviest seed, and a seed takes its ``pull`` heaviest.  Each round every free component shrinks."""
-    free = cut(vertices.select("id", hashed(seed, F.col("id")).alias("h")), "free")
-    done = None
+    free, live = cut(vertices.select("id"), "free"), edges.select("src", "dst", "w")
+    done, step = None, 0
     while not free.isEmpty():
-        live = edges.join(free.select(F.col("id").alias("src"), F.col("h").alias("hs")), "src").join(free.select(F.col("id").alias("dst"), F.col("h").alias("hd")), "dst")
-        live = cut(live, "live")
-        beaten = live.where("struct(hd, dst) < struct(hs, src)").select(F.col("src").alias("id")).distinct()
-        seeds = cut(free.join(beaten, "id", "left_anti").select("id"), "seeds")
-        offers = live.join(seeds.select(F.col("id").alias("src")), "src").select("src", "dst", "w")
-        offers = offers.join(seeds.select(F.col("id").alias("dst")), "dst", "left_anti")
-        best = offers.withColumn("r", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("w"), "src"))).where("r = 1")
-        taken = best.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))).where(F.col("r") <= pull)
-        new = cut(seeds.select("id", F.col("id").alias("seed")).unionByName(taken.select(F.col("dst").alias("id"), F.col("src").alias("seed"))), "grouped")
+        was = free, live
+        end = lambda name: free.select(F.col("id").alias(name))  # noqa: E731, B023
+        live = cut(live.join(end("src"), "src").join(end("dst"), "dst"), "live")
+        linked = live.select(F.col("src").alias("id")).unionByName(live.select(F.col("dst").alias("id"))).distinct()
+        chosen = lambda c: uniform_column(seed, step, F.col(c)) < 1.0 / (pull + 1)  # noqa: E731, B023
+        offered = live.where(~chosen("src") & chosen("dst"))
+        offered = offered.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))).where("r = 1")
+        taken = offered.withColumn("r", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("w"), "src"))).where(F.col("r") <= pull)
+        taken = cut(taken.select(F.col("src").alias("id"), F.col("dst").alias("gid")), "taken")
+        alone = free.join(linked, "id", "left_anti").select("id", F.col("id").alias("gid"))
+        new = cut(taken.unionByName(taken.select(F.col("gid").alias("id"), "gid").distinct()).unionByName(alone), "grouped")
         done = new if done is None else done.unionByName(new)
-        free = cut(free.join(new, "id", "left_anti"), "free")
-    return done.select("id", F.col("seed").alias("gid"))
+        free = cut(free.join(new.select("id"), "id", "left_anti"), "free")
+        for table in (was[0], taken, was[1] if step else None):
+            drop(table)
+        step += 1
+    return vertices.select("id", F.col("id").alias("gid")).limit(0) if done is None else done
 
 
 def greedy_groups(vertices: DataFrame, edges: DataFrame, pull: int = 3, seed: int = 0) -> DataFrame:
-    """(id, gid): every vertex in one group of at most ``pull`` + 1."""
+    """(id, gid): every vertex in one group of at most ``pull`` + 1, named by its seed.  ``edges`` has both
+    directions.  Where it is computed depends on the number of edges, what comes out doesn't."""
     if edges.count() <= LOCAL_EDGES:
         return _grouped_locally(vertices, edges, pull, seed)
     return _grouped_in_rounds(vertices, edges, pull, seed)

@@ -1,20 +1,28 @@
-"""Layouts in two or three dimensions: coarse to fine, with gradients shared by the members of a group."""
+"""Layouts in two or three dimensions: coarse to fine, with gradients shared by the members of a group.
+
+In an epoch every group's representative draws one neighbour by weight and some negatives by degree, and all
+groups move at once, from where they stood when it began.  Draws are hashes of (seed, epoch, representative,
+place), so a level's layout is the same whether one task or the whole cluster runs its epochs.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinal.functions.vectors import clipped, floored, grad_neg, grad_pos, learning_rate
-from vicinal.operators.coarsen import Level, hierarchy
+from vicinal.functions.draws import uniform, uniform_column
+from vicinal.functions.vectors import LEAST_P, clipped, floored, grad_neg, grad_pos, learning_rate
+from vicinal.operators.coarsen import Level, hierarchy, representatives
 from vicinal.operators.graph import degrees, symmetrize
 from vicinal.operators.knn import approx_knn
 from vicinal.operators.probability import pij
-from vicinal.session import cut
+from vicinal.operators.sampling import degree_cdf
+from vicinal.session import cut, drop
 
 
 @dataclass(frozen=True)
@@ -54,8 +62,12 @@ class Config:
 
 
 AXES = ("x", "y", "z")
-#: Edges of a level up to which one task runs its epochs in sequence; larger levels take synchronous epochs.
+#: Edges of a level up to which one task runs its epochs; larger ones run as joins, with the same result.
 LOCAL_EDGES = 4_000_000
+#: Epochs whose draws are made together where they run as joins.
+DRAWN_EPOCHS = 25
+#: Place of the second draw of a negative that is the neighbour itself.
+_AGAIN = 1 << 20
 
 
 def draw_normal(seed: int, ids: np.ndarray, dim: int, scale: float) -> np.ndarray:
@@ -72,15 +84,17 @@ def prolong(fine: DataFrame, coarse: DataFrame, dim: int = 2) -> DataFrame:
 
 
 def synchronous_epoch(layout: DataFrame, edges: DataFrame, samples: DataFrame, rate: float, gamma: float, most_norm: float, direction: str = "ascent") -> DataFrame:
-    """One epoch for all groups at once: ``samples(gid, i, j, negatives array)`` move every member of gid.
+    """One epoch for all groups at once: ``samples(gid, i, j, negatives array[, w])`` move every member of gid.
 
-    ``layout(id, gid, x, y[, z])``.  Only the members of gid move, by the clipped gradient of i.
+    ``layout(id, gid, x, y[, z])``.  Only the members of gid move, by the clipped gradient of i.  Without w
+    in ``samples`` the weight is that of the edge.
     """
     axes = [c for c in AXES if c in layout.columns]
     at = lambda name: layout.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}{c}") for c in axes])
     of = lambda name: [F.col(f"{name}{c}") for c in axes]
     p = edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
-    drawn = samples.join(at("i"), "i").join(at("j"), "j").join(p, ["i", "j"], "left").withColumn("w", floored(F.coalesce("w", F.lit(0.0))))
+    drawn = samples.join(at("i"), "i").join(at("j"), "j")
+    drawn = (drawn if "w" in samples.columns else drawn.join(p, ["i", "j"], "left")).withColumn("w", floored(F.coalesce("w", F.lit(0.0))))
     pos = grad_pos(of("i"), of("j"), F.col("w"))
     drawn = drawn.select("gid", *of("i"), "w", "negatives", *[g.alias(f"g{c}") for c, g in zip(axes, pos, strict=True)])
     each = drawn.select("gid", *of("i"), "w", F.explode("negatives").alias("n")).join(at("n"), "n")
@@ -95,83 +109,76 @@ def synchronous_epoch(layout: DataFrame, edges: DataFrame, samples: DataFrame, r
 
 
 class LevelKernel:
-    """The epochs of one level over arrays: groups in a new order each epoch, one draw for each."""
+    """The epochs of one level over arrays."""
 
     def __init__(self, ids: np.ndarray, gids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, config: Config) -> None:
         self.config = config
         order = np.argsort(ids)
-        self.ids = ids[order]
+        self.ids, n = ids[order], len(ids)
         groups, self.group = np.unique(gids[order], return_inverse=True)
         s, d = np.searchsorted(self.ids, src), np.searchsorted(self.ids, dst)
         by = np.lexsort((d, s))
-        self.dst, self.w = d[by], np.where(w[by] > 0, w[by], 1e-10)
-        n = len(self.ids)
-        self.degree = np.bincount(s, minlength=n)
-        self.start = np.concatenate(([0], np.cumsum(self.degree)))
-        self.cdf = np.cumsum(self.w)
+        s, self.dst, self.w = s[by], d[by], np.where(w[by] > 0, w[by], LEAST_P)
+        degree = np.bincount(s, minlength=n)
         # of each group the member of the highest degree, the first among equals
-        best = np.lexsort((np.arange(n), -self.degree, self.group))
+        best = np.lexsort((np.arange(n), -degree, self.group))
         self.rep = best[np.searchsorted(self.group[best], np.arange(len(groups)))]
-        self.chance = np.cumsum(self.degree) if self.degree.sum() else np.arange(1, n + 1)
-        self.members = np.argsort(self.group, kind="stable")
-        self.sizes = np.bincount(self.group, minlength=len(groups))
-        self.first = np.cumsum(self.sizes) - self.sizes
-
-    def _draws(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # running shares of a vertex's edges, each vertex's a step of one above the last's
+        self.has = degree[self.rep] > 0
+        first = np.cumsum(degree) - degree
+        upto = np.cumsum(self.w)
+        before = np.concatenate(([0.0], upto))[first]
+        self.first, self.last = first, first + degree - 1
+        total = np.concatenate(([0.0], upto))[first + degree] - before
+        self.share = (upto - before[s]) / total[s] + s if len(s) else upto
+        # shares by degree, in the order of degree_cdf
+        prefix = [md5(str(i).encode()).hexdigest()[:4] for i in self.ids.tolist()]
+        self.place = np.array(sorted(range(n), key=lambda k: (prefix[k], self.ids[k])), dtype=np.int64)
+        run = np.cumsum(degree[self.place])
+        self.all = max(1, int(run[-1]) if n else 1)
+        self.hi, self.lo = np.empty(n), np.empty(n)
+        self.upto = run / self.all
+        self.hi[self.place], self.lo[self.place] = self.upto, (run - degree[self.place]) / self.all
+
+    def draws(self, epoch: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbours, weights and negatives of all groups."""
         rep, m = self.rep, self.config.negatives
-        a, b = self.start[rep], self.start[rep + 1]
-        low = np.where(a > 0, self.cdf[np.maximum(a - 1, 0)], 0.0) if len(self.cdf) else np.zeros(len(rep))
-        has = b > a
-        j, p = rep.copy(), np.full(len(rep), 1e-10)
-        if has.any():
-            high = self.cdf[b[has] - 1]
-            at = np.searchsorted(self.cdf, low[has] + rng.random(has.sum()) * (high - low[has]), side="right")
-            at = np.clip(at, a[has], b[has] - 1)
-            j[has], p[has] = self.dst[at], self.w[at]
-        negative = np.searchsorted(self.chance, rng.random((len(rep), m)) * self.chance[-1], side="right")
-        again = negative == j[:, None]
-        negative[again] = np.searchsorted(self.chance, rng.random(again.sum()) * self.chance[-1], side="right")
-        return j, p, np.minimum(negative, len(self.ids) - 1)
-
-    def _runs(self, order: np.ndarray, j: np.ndarray, negative: np.ndarray) -> list[int]:
-        """Where runs of ``order`` begin in which no group reads what an earlier one of the run moves: at once,
-        they move as they would one by one."""
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        read = place[self.group[np.column_stack([j, negative])]]
-        last = np.where(read < place[:, None], read, -1).max(1)[order]
-        begin, runs = 0, [0]
-        for at, needs in enumerate(last.tolist()):
-            if needs >= begin and at:
-                begin = at
-                runs.append(at)
-        return runs
+        key = self.ids[rep]
+        j, p = rep.copy(), np.full(len(rep), LEAST_P)
+        at = np.searchsorted(self.share, rep[self.has] + uniform(seed, epoch, key[self.has], 0), side="right")
+        at = np.clip(at, self.first[rep[self.has]], self.last[rep[self.has]])
+        j[self.has], p[self.has] = self.dst[at], self.w[at]
+        negative = np.empty((len(rep), m), dtype=np.int64)
+        for k in range(m):
+            u = uniform(seed, epoch, key, k + 1)
+            own = self._by_degree(u)
+            width = self.hi[j] - self.lo[j]
+            # the second draw leaves out the share of j; where no other vertex has one, j stays
+            again = (own == j) & (width < 1)
+            u = uniform(seed, epoch, key, k + 1 + _AGAIN) * (1.0 - width)
+            u = np.where(u < self.lo[j], u, np.maximum(u + width, self.hi[j]))
+            own[again] = self._by_degree(u[again])
+            negative[:, k] = own
+        return j, p, negative
+
+    def _by_degree(self, u: np.ndarray) -> np.ndarray:
+        return self.place[np.minimum(np.searchsorted(self.upto, u, side="right"), len(self.place) - 1)]
 
     def run(self, y: np.ndarray, epochs: int, gamma: float, seed: int) -> np.ndarray:
         c = self.config
         sign = 1.0 if c.direction == "ascent" else -1.0
-        for epoch in range(epochs):
-            rng = np.random.Generator(np.random.Philox(key=seed, counter=epoch << 64))
+        for epoch in range(epochs if self.has.any() else 0):
             lr = sign * learning_rate(c.schedule, c.rate, c.beta, epochs, epoch)
-            order = rng.permutation(len(self.rep))
-            j, p, negative = self._draws(rng)
-            runs = self._runs(order, j, negative)
-            sizes = self.sizes[order]
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            moved = self.members[np.repeat(self.first[order] - ends[:-1], sizes) + np.arange(ends[-1])]
-            by = np.repeat(np.arange(len(order)), sizes)
-            i, j, p, negative = self.rep[order], j[order], p[order], negative[order]
-            for a, b in zip(runs, [*runs[1:], len(order)], strict=True):
-                own, w = y[i[a:b]], p[a:b, None]
-                to = own - y[j[a:b]]
-                g = -2.0 * w * to / (1.0 + np.maximum((to**2).sum(1), 1e-12))[:, None]
-                away = own[:, None, :] - y[negative[a:b]]
-                d2 = np.maximum((away**2).sum(2), 1e-12)
-                g += (2.0 * gamma * w / np.maximum(d2 * (1.0 + d2), 1e-18))[:, :, None].__mul__(away).sum(1)
-                norm = np.sqrt((g**2).sum(1))
-                g *= np.where(norm > c.most_norm, c.most_norm / np.maximum(norm, 1e-300), 1.0)[:, None]
-                part = slice(ends[a], ends[b])
-                y[moved[part]] += lr * g[by[part] - a]
+            j, p, negative = self.draws(epoch, seed)
+            own, w = y[self.rep], p[:, None]
+            to = own - y[j]
+            g = -2.0 * w * to / (1.0 + np.maximum((to**2).sum(1), 1e-12))[:, None]
+            away = own[:, None, :] - y[negative]
+            d2 = np.maximum((away**2).sum(2), 1e-12)
+            g += ((2.0 * gamma * w / np.maximum(d2 * (1.0 + d2), 1e-18))[:, :, None] * away).sum(1)
+            norm = np.sqrt((g**2).sum(1))
+            g *= np.where(norm > c.most_norm, c.most_norm / np.maximum(norm, 1e-300), 1.0)[:, None]
+            y = y + lr * g[self.group]
         return y
 
 
@@ -201,54 +208,73 @@ def negative_pool(degree: DataFrame, n: int) -> DataFrame:
 
     There are as many steps as vertices, so a step holds few and the table is bounded by twice their number.
     """
-    from vicinal.operators.sampling import degree_cdf
-
     steps = max(1 << 16, n)
     first, last = F.floor(F.col("lo") * steps), F.ceil(F.col("hi") * steps) - 1
     cdf = degree_cdf(degree).where("hi > lo")
     return cdf.select(F.explode(F.sequence(first, F.greatest(first, last))).alias("step"), F.lit(steps).alias("steps"), F.col("id").alias("n"), "lo", "hi")
 
 
-def with_negatives(base: DataFrame, pool: DataFrame, negatives: int, seed: str) -> DataFrame:
-    """``base(gid, i, j)`` with an array of negatives: all vertices by degree, but j, as if drawn until another comes."""
-    from vicinal.operators.sampling import position
-
+def with_negatives(base: DataFrame, pool: DataFrame, negatives: int, seed: int) -> DataFrame:
+    """``base(epoch, gid, i, j, ..)`` with an array of negatives: all vertices by degree, but j, as if drawn
+    until another comes."""
     if not negatives:
         return base.withColumn("negatives", F.array().cast("array<long>"))
     steps = pool.first()["steps"]
-    places = pool.drop("steps")
+    places, columns = pool.drop("steps"), base.columns
 
     def at(rows: DataFrame, u: Column) -> DataFrame:
         rows = rows.withColumn("u", u).withColumn("step", F.floor(F.col("u") * steps))
-        return rows.join(places, "step").where("lo <= u and u < hi").select("gid", "i", "j", "k", "n", "lo", "hi")
+        return rows.join(places, "step").where("lo <= u and u < hi").select(*columns, "k", "n", "lo", "hi")
 
-    key, width = F.concat_ws(":", "gid", "k"), F.col("jhi") - F.col("jlo")
-    each = base.select("gid", "i", "j", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("k"))
-    once = cut(at(each, position(seed, key)), "negatives")
+    draw = lambda more: uniform_column(seed, F.col("epoch"), F.col("i"), F.col("k") + more)
+    width = F.col("jhi") - F.col("jlo")
+    each = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("k"))
+    once = cut(at(each, draw(0)), "negatives")
     # the second draw leaves out the share of j; where no other vertex has one, j stays
     own = F.col("n").eqNullSafe(F.col("j")) & (F.col("hi") - F.col("lo") < 1)
-    second = once.where(own).select("gid", "i", "j", "k", F.col("lo").alias("jlo"), F.col("hi").alias("jhi"))
-    u = position(f"{seed}:again", key) * (1.0 - width)
+    second = once.where(own).select(*columns, "k", F.col("lo").alias("jlo"), F.col("hi").alias("jhi"))
+    u = draw(_AGAIN) * (1.0 - width)
     again = at(second, F.when(u < F.col("jlo"), u).otherwise(F.greatest(u + width, F.col("jhi"))))
     every = once.where(~own).unionByName(again)
-    return every.groupBy("gid", "i", "j").agg(F.collect_list("n").alias("negatives"))
+    return every.groupBy(*columns).agg(F.collect_list("n").alias("negatives"))
 
 
-def _optimize_together(level: Level, layout: DataFrame, config: Config, epochs: int, gamma: float, seed: int) -> DataFrame:
-    from vicinal.operators.coarsen import representatives
-    from vicinal.operators.sampling import positive_edges
+def neighbour_shares(reps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(gid, i, j, w, lo, hi): the edges of the representatives with their shares laid end to end; one that
+    has none is its own neighbour."""
+    own = edges.select(F.col("src").alias("rep"), F.col("dst").alias("j"), floored(F.col("w")).alias("w"))
+    rows = reps.join(own, "rep", "left").select("gid", F.col("rep").alias("i"), F.coalesce("j", "rep").alias("j"), F.coalesce("w", F.lit(LEAST_P)).alias("w"))
+    of = Window.partitionBy("i")
+    hi = F.sum("w").over(of.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(of)
+    last = F.row_number().over(of.orderBy(F.desc("j"))) == 1
+    rows = rows.withColumn("hi", F.when(last, 1.0).otherwise(hi))
+    return rows.withColumn("lo", F.coalesce(F.lag("hi").over(of.orderBy("j")), F.lit(0.0)))
+
 
+def _optimize_together(level: Level, layout: DataFrame, config: Config, epochs: int, gamma: float, seed: int) -> DataFrame:
+    if level.edges.isEmpty():
+        return layout
     degree = cut(degrees(level.vertices.select("id"), level.edges), "degrees")
-    reps = cut(representatives(level.vertices, degree), "representatives")
+    shares = cut(neighbour_shares(representatives(level.vertices, degree), level.edges), "shares")
     pool = cut(negative_pool(degree, level.n), "pool")
-    for epoch in range(epochs):
-        drawn = positive_edges(level.edges, seed * 1000 + epoch)
-        # a representative without an edge stands for its own neighbour, as in LevelKernel
-        base = reps.join(drawn.withColumnRenamed("src", "rep").withColumnRenamed("dst", "j"), "rep", "left")
-        base = cut(base.select("gid", F.col("rep").alias("i"), F.coalesce("j", "rep").alias("j")), "drawn")
-        samples = with_negatives(base, pool, config.negatives, f"{seed}:{epoch}")
-        lr = learning_rate(config.schedule, config.rate, config.beta, epochs, epoch)
-        layout = cut(synchronous_epoch(layout, level.edges, samples, lr, gamma, config.most_norm, config.direction), "layout")
+    first = layout
+    for begin in range(0, epochs, DRAWN_EPOCHS):
+        those = F.sequence(F.lit(begin), F.lit(min(begin + DRAWN_EPOCHS, epochs) - 1))
+
+        def met(e: Column) -> Column:
+            u = uniform_column(seed, e, F.col("i"), 0)
+            return (F.col("lo") <= u) & (u < F.col("hi"))
+
+        base = shares.select("gid", "i", "j", "w", F.explode(F.filter(those, met)).alias("epoch"))
+        samples = cut(with_negatives(base, pool, config.negatives, seed).sortWithinPartitions("epoch"), "samples")
+        for epoch in range(begin, min(begin + DRAWN_EPOCHS, epochs)):
+            lr = learning_rate(config.schedule, config.rate, config.beta, epochs, epoch)
+            own = samples.where(F.col("epoch") == epoch).drop("epoch")
+            moved = cut(synchronous_epoch(layout, level.edges, own, lr, gamma, config.most_norm, config.direction), "layout")
+            if layout is not first:
+                drop(layout)
+            layout = moved
+        drop(samples)
     return layout
 
 
