@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vicinal.functions import draws
 from vicinal.functions import vectors as fx
 from vicinal.operators import coarsen, graph, knn, probability, sampling
 
@@ -141,27 +142,124 @@ def test_coincident_leaves_end(spark):
     assert found.where("src % 4 <> 0").groupBy("src").count().where("count = 3").count() == 60
 
 
-def test_groups(spark):
-    ring = [(i, (i + s) % 8, 1.0 + i) for i in range(8) for s in (1, 7)]
+def brute_groups(ids, edges, pull, seed):
+    """Rounds of offers by plain loops."""
+    group, step = {}, 0
+    while len(group) < len(ids):
+        free = [v for v in ids if v not in group]
+        near = {v: sorted(((-w, b) for a, b, w in edges if a == v and b in free)) for v in free}
+        seeds = {v for v in free if near[v] and draws.uniform(seed, step, v)[0] < 1 / (pull + 1)}
+        asked = {}
+        for v in free:
+            if not near[v]:
+                group[v] = v
+            elif v not in seeds and (best := next(((w, b) for w, b in near[v] if b in seeds), None)):
+                asked.setdefault(best[1], []).append((best[0], v))
+        for s, own in asked.items():
+            for _, v in [(0, s), *sorted(own)[:pull]]:
+                group[v] = s
+        step += 1
+    return group
+
+
+@pytest.mark.parametrize("most", [0, coarsen.LOCAL_EDGES])
+def test_groups_like_brute_force(spark, monkeypatch, most):
+    """The same in one task and over all executors; a group is a seed with some of its neighbours."""
+    monkeypatch.setattr(coarsen, "LOCAL_EDGES", most)
+    rng = np.random.default_rng(3)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 60, (110, 2)) if a != b}
+    weight = {frozenset(p): float(rng.integers(1, 5)) for p in pairs}
+    rows = sorted({(a, b, weight[frozenset((a, b))]) for x, y in pairs for a, b in ((x, y), (y, x))})
+    for pull, seed in ((3, 5), (1, 6)):
+        found = {r["id"]: r["gid"] for r in coarsen.greedy_groups(ids(spark, 62), edges_of(spark, rows), pull, seed).collect()}
+        assert found == brute_groups(range(62), rows, pull, seed)
+        linked = {(a, b) for a, b, _ in rows}
+        assert all(v == g or (v, g) in linked for v, g in found.items())
+        assert max(list(found.values()).count(g) for g in found.values()) <= pull + 1
+    assert coarsen.greedy_groups(ids(spark, 0), edges_of(spark, [])).count() == 0
+
+
+def test_coarse_edges_of_a_cycle(spark):
+    ring = [(i, (i + s) % 8, 1.0 + min(i, (i + s) % 8)) for i in range(8) for s in (1, 7)]
     e = edges_of(spark, ring)
-    for grouped in (coarsen._grouped_locally, coarsen._grouped_in_rounds):
-        found = grouped(ids(spark, 8), e, 3, 5).toPandas()
-        assert sorted(found["id"]) == list(range(8)) and found.groupby("gid").size().max() <= 4
-        groups = spark.createDataFrame(found)
-        coarse = coarsen.coarse_edges(e, groups)
-        of = dict(zip(found["id"], found["gid"], strict=True))
-        want = {}
-        for a, b, w in ring:
-            if of[a] != of[b]:
-                want[of[a], of[b]] = max(w, want.get((of[a], of[b]), 0))
-        assert {(r["src"], r["dst"]): r["w"] for r in coarse.collect()} == want
+    found = coarsen.greedy_groups(ids(spark, 8), e, 3, 5).toPandas()
+    assert sorted(found["id"]) == list(range(8)) and found.groupby("gid").size().max() <= 3
+    of = dict(zip(found["id"], found["gid"], strict=True))
+    want = {}
+    for a, b, w in ring:
+        if of[a] != of[b]:
+            want[of[a], of[b]] = max(w, want.get((of[a], of[b]), 0))
+    assert {(r["src"], r["dst"]): r["w"] for r in coarsen.coarse_edges(e, spark.createDataFrame(found)).collect()} == want
+
+
+def test_draws_are_the_same_in_plans_and_kernels(spark):
+    rng = np.random.default_rng(8)
+    values = rng.integers(-(1 << 63), (1 << 63) - 1, (50, 3))
+    rows = spark.createDataFrame([tuple(map(int, v)) for v in values], "a long, b long, c long")
+    got = np.array([r[0] for r in rows.select(F.xxhash64("a", "b", "c")).collect()], np.int64)
+    assert np.array_equal(got.astype(np.uint64), draws.hashed(*values.T))
+    u = np.array([r[0] for r in rows.select(draws.uniform_column(4, F.col("a"), 7)).collect()])
+    assert np.array_equal(u, draws.uniform(4, values[:, 0], 7)) and (u >= 0).all() and (u < 1).all()
+
+
+def test_leaves_like_brute_force(spark):
+    """Every point by hand through each tree, whatever the partitions; equal points are in one leaf."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 6))
+    x[150:] = x[3]
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {(r["tree"], r["id"]): r["leaf"] for r in knn.leaves(pts.repartition(5), trees=3, leaf=20, seed=9).collect()}
+    for t in range(3):
+        tree = knn.ProjectionTree(x, 20, 9 + t)
+        for i in range(200):
+            node = tree.root
+            while node >= 0:
+                at, sign, bound, low, high = tree.nodes[node]
+                node = low if sum(s * x[i][a] for a, s in zip(at, sign, strict=True)) < bound else high
+            assert got[t, i] == -node
+        sizes = np.bincount([got[t, i] for i in range(200)])
+        assert sizes.max() <= 20 + 50 and len({got[t, i] for i in range(150, 200)}) == 1
+
+
+def test_local_joins_like_brute_force(spark):
+    """All pairs with a common neighbour in either direction that would enter a list; hubs in parts lose only
+    pairs of reverse neighbours of two parts."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 5))
+    x[0] = 0  # a hub
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    start = spark.createDataFrame([(i, (i + s * 7) % 60) for i in range(60) for s in (1, 2)] + [(i, 0) for i in range(1, 60)], "src long, dst long").distinct()
+    d = lambda i, j: max(float(((x[i] - x[j]) ** 2).sum()), 1e-12)
+    rows = [(r["src"], r["dst"], d(r["src"], r["dst"])) for r in start.collect()]
+    table = knn.top_k(spark.createDataFrame(rows, "src long, dst long, d2 double"), 3)
+    lists = {}
+    for r in table.collect():
+        lists.setdefault(r["src"], {})[r["dst"]] = r["d2"]
+    bar = {i: max(own.values()) if len(own) == 3 else np.inf for i, own in lists.items()}
+    near = {v: set(own) | {i for i, other in lists.items() if v in other} for v, own in lists.items()}
+    want = {(i, j) for v in near for i in near[v] for j in near[v] if i != j and d(i, j) <= bar[i]}
+    got = {(r["src"], r["dst"]) for r in knn.local_joins(table, pts, 3, most=100).collect()}
+    assert got == want
+    few = {(r["src"], r["dst"]) for r in knn.local_joins(table, pts, 3, most=5).collect()}
+    assert few <= want and len(few) > 0.2 * len(want)
 
 
 def test_hierarchy(spark):
     rng = np.random.default_rng(2)
     pts = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(120)], "id long, v array<double>")
     e = graph.symmetrize(knn.exact_knn(pts, 5)).select("src", "dst", fx.inv_one_plus(F.col("d2")).alias("w"))
-    levels = coarsen.hierarchy(pts.select("id"), e)
+    levels = coarsen.hierarchy(pts.select("id"), e, seed=4)
+    # levels one after the other by plain loops
+    own, links = list(range(120)), [(r["src"], r["dst"], r["w"]) for r in e.collect()]
+    for k, level in enumerate(levels[:-1]):
+        group = brute_groups(own, links, 3, 4 + k)
+        assert {r["id"]: r["gid"] for r in level.vertices.collect()} == group
+        heaviest = {}
+        for a, b, w in links:
+            if group[a] != group[b]:
+                heaviest[group[a], group[b]] = max(w, heaviest.get((group[a], group[b]), 0))
+        own, links = sorted(set(group.values())), [(a, b, w) for (a, b), w in heaviest.items()]
+    assert sorted(r["id"] for r in levels[-1].vertices.collect()) == own
     sizes = [level.n for level in levels]
     assert len(levels) > 1 and all(b < int(0.8 * a) for a, b in zip(sizes, sizes[1:], strict=False))
     last = levels[-1].vertices

@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact in blocks, and approximate by random-projection leaves and descent.
+"""Nearest neighbours: exact in blocks, and approximate by random-projection leaves and local joins.
 
 Points are rows (id, v); neighbour tables are (src, dst, d2, rk), ordered by distance and then by id.  A
 point is never its own neighbour.
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import LEAST_D2, sqdist
-from vicinal.session import cut
+from vicinal.session import cut, drop
 
 #: Points of one side of a block task, of which a task holds two.
 BLOCK = 512
@@ -20,6 +20,10 @@ BLOCK = 512
 SAMPLE_POINTS = 20_000
 #: Points of a leaf that one task compares; larger leaves are split further.
 LEAF_POINTS = 4096
+#: Points that a leaf of a tree is to have at least; a block of so many is compared as one product of matrices.
+LEAST_LEAF = 256
+#: Reverse neighbours, in multiples of k, that one local join takes; those of a hub are dealt to several.
+REVERSE = 4
 
 
 def points(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -72,21 +76,19 @@ def exact_knn(pts: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k nearest of every point, by all pairs in blocks; each block pair hands on k for each point."""
 
     def kernel(ids, a, others, b, _):
-        src, dst, d2 = [], [], []
-        for i, x in zip(ids, a, strict=True):
-            if not len(others):
-                break
-            d = distances(x, b)
-            d[others == i] = np.inf
-            best = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
-            # ties at the border: all that are as near as the k-th
-            best = np.flatnonzero(d <= np.sort(d[best])[min(k, len(best)) - 1])
-            best = best[np.isfinite(d[best])]
-            src.append(np.full(len(best), i))
-            dst.append(others[best])
-            d2.append(d[best])
-        cat = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.empty(0, kind)
-        return {"src": cat(src, np.int64), "dst": cat(dst, np.int64), "d2": cat(d2, np.float64)}
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        for at in range(0, len(ids) if len(others) else 0, 512):
+            own, x = ids[at : at + 512], a[at : at + 512]
+            d = products(x, b)
+            d[own[:, None] == others[None, :]] = np.inf
+            # all that may be as near as the k-th: products lose digits, so those are measured again
+            loss = 1e-9 * ((b - b.mean(axis=0)) ** 2).sum(axis=1).max() + 1e-9 * ((x - b.mean(axis=0)) ** 2).sum(axis=1)[:, None]
+            i, j = np.nonzero(d <= np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, [min(k, d.shape[1]) - 1]] + loss)
+            keep = np.isfinite(d[i, j])
+            i, j = i[keep], j[keep]
+            for column, values in zip(out, (own[i], others[j], np.maximum(((b[j] - x[i]) ** 2).sum(axis=1), LEAST_D2)), strict=True):
+                column.append(values)
+        return dict(zip(("src", "dst", "d2"), map(np.concatenate, out), strict=True))
 
     return top_k(block_pairs(pts, kernel, "src long, dst long, d2 double", block), k)
 
@@ -160,9 +162,11 @@ class ProjectionTree:
 def leaves(pts: DataFrame, trees: int = 4, leaf: int = 10, seed: int = 0) -> DataFrame:
     """(tree, leaf, id) of every point, in trees fitted to a bounded sample."""
     n = pts.count()
-    share = min(1.0, SAMPLE_POINTS / max(1, n))
-    sample = pts.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).select("id", "v").toPandas().sort_values("id")
-    if not len(sample):
+    bound = min((1 << 63) - 1, int(SAMPLE_POINTS / max(1, n) * (1 << 63)))
+    sample = pts.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1) <= bound).select("id", "v").toPandas().sort_values("id")
+    if n and not len(sample):
+        raise ValueError(f"no point of {n} is in the sample that trees are fitted to")
+    if not n:
         return pts.select(F.lit(0).alias("tree"), F.lit(0).cast("long").alias("leaf"), "id")
     x = np.stack(sample["v"].to_list())
     forest = [ProjectionTree(x, leaf, seed + t) for t in range(trees)]
@@ -187,11 +191,11 @@ def split_leaves(placed: DataFrame, pts: DataFrame, most: int = LEAF_POINTS, see
         sizes = cut(placed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).drop("n"), "sizes")
         if sizes.isEmpty():
             return join(done, placed)
-        done = join(done, placed.join(F.broadcast(sizes), ["tree", "leaf"], "left_anti"))
-        large = placed.join(F.broadcast(sizes), ["tree", "leaf"]).join(pts, "id").select("tree", "leaf", "id", "v")
+        done = join(done, placed.join(sizes, ["tree", "leaf"], "left_anti"))
+        large = placed.join(sizes, ["tree", "leaf"]).join(pts, "id").select("tree", "leaf", "id", "v")
         large = cut(large.mapInArrow(_projected(seed, step), "tree int, leaf long, id long, value double"), "projected")
         bounds = large.groupBy("tree", "leaf").agg(F.min("value").alias("least"), F.max("value").alias("top"), F.percentile_approx("value", 0.5).alias("half"))
-        large = large.join(F.broadcast(bounds), ["tree", "leaf"])
+        large = large.join(bounds, ["tree", "leaf"])
         # where half of the points or more have the least value, they part from the others
         low = (F.col("value") < F.col("half")) | (F.col("value") == F.col("least"))
         # leaves have numbers under 2 to the 20; each halving has a bit of its own
@@ -216,6 +220,33 @@ def _projected(seed: int, step: int):
     return run
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all with all by a product of matrices, about a common centre: to choose by, not to keep."""
+    centre = b.mean(axis=0)
+    a, b = a - centre, b - centre
+    return (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
+
+
+def nearest(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int, rows: int = 512) -> dict[str, np.ndarray]:
+    """src, dst and d2 of the k nearest of each row: a few more are chosen by products, then measured."""
+    src, dst, d2 = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for at in range(0, len(ids) if len(others) else 0, rows):
+        own, x = ids[at : at + rows], a[at : at + rows]
+        d = products(x, b)
+        d[own[:, None] == others[None, :]] = np.inf
+        most = min(k + 8, len(others))
+        best = np.argpartition(d, most - 1, axis=1)[:, :most]
+        true = np.maximum(((b[best] - x[:, None, :]) ** 2).sum(axis=2), LEAST_D2)
+        true[own[:, None] == others[best]] = np.inf
+        order = np.lexsort((others[best], true), axis=1)[:, :k]
+        true, best = np.take_along_axis(true, order, 1), np.take_along_axis(best, order, 1)
+        keep = np.isfinite(true)
+        src.append(np.broadcast_to(own[:, None], true.shape)[keep])
+        dst.append(others[best][keep])
+        d2.append(true[keep])
+    return {"src": np.concatenate(src), "dst": np.concatenate(dst), "d2": np.concatenate(d2)}
+
+
 def leaf_candidates(pts: DataFrame, placed: DataFrame, k: int, most: int = LEAF_POINTS) -> DataFrame:
     """The k nearest of each point among all its leaf-mates; leaves beyond ``most`` points are dealt out in
     parts, and each part is compared with every part."""
@@ -230,34 +261,86 @@ def leaf_candidates(pts: DataFrame, placed: DataFrame, k: int, most: int = LEAF_
         side = table["side"].to_numpy()
         lefts = table.filter(pa.array(side == 0))
         rights = lefts if table["i"][0] == table["j"][0] else table.filter(pa.array(side == 1))
-        ids, x = rights["id"].to_numpy(), matrix(rights["v"])
-        src, dst, d2 = [], [], []
-        for i, own in zip(lefts["id"].to_numpy(), matrix(lefts["v"]), strict=True):
-            if not len(ids):
-                break
-            d = distances(own, x)
-            d[ids == i] = np.inf
-            best = np.argsort(d, kind="stable")[:k]
-            best = best[np.isfinite(d[best])]
-            src += [i] * len(best)
-            dst += ids[best].tolist()
-            d2 += d[best].tolist()
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "d2": pa.array(d2, pa.float64())})
+        return pa.table(nearest(lefts["id"].to_numpy(), matrix(lefts["v"]), rights["id"].to_numpy(), matrix(rights["v"]), k))
 
     return left.unionByName(right).groupBy("tree", "leaf", "i", "j").applyInArrow(run, "src long, dst long, d2 double")
 
 
-def approx_knn(pts: DataFrame, k: int, trees: int = 8, leaf: int | None = None, passes: int = 5, seed: int = 0, most: int = LEAF_POINTS) -> DataFrame:
-    """Leaf-mates of several trees, refined by descent passes.  k must be less than the number of points."""
+def local_joins(knn: DataFrame, pts: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """(src, dst, d2) of pairs that have a neighbour in common, as neighbours or reverse neighbours of it, and
+    that would enter src's list.
+
+    Every vertex gathers the vectors of its neighbours and of up to ``most`` reverse ones, a hub in several
+    parts (of which reverse neighbours in two parts don't meet), and compares them.  So a vector is sent once for each list that it stands in, not
+    once for each pair.
+    """
+    most = most or REVERSE * k
+    back = knn.select(F.col("dst").alias("at"), F.col("src").alias("id"))
+    parts = back.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    back = back.join(parts, "at").select("at", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id")
+    ahead = knn.select(F.col("src").alias("at"), F.col("dst").alias("id")).join(parts, "at", "left")
+    ahead = ahead.select("at", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "id")
+    last = knn.groupBy(F.col("src").alias("id")).agg(F.max(F.when(F.col("rk") == k, F.col("d2"))).alias("last"))
+    known = pts.join(last, "id", "left").select("id", "v", F.coalesce("last", F.lit(float("inf"))).alias("last"))
+    rows = back.unionByName(ahead).join(known, "id").select("at", "part", "id", "last", "v")
+    return rows.repartition("at", "part").sortWithinPartitions("at", "part").mapInArrow(_joined, "src long, dst long, d2 double")
+
+
+def _joined(batches):
+    """Rows (at, part, id, last, v) in order of the first two."""
+
+    def pairs(group: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, first = np.unique(group.column(2).to_numpy(), return_index=True)
+        x, last = matrix(pa.chunked_array([group.column(4)]))[first], group.column(3).to_numpy()[first]
+        near = products(x, x) <= last[:, None] * (1 + 1e-6) + 1e-9
+        np.fill_diagonal(near, False)
+        i, j = np.nonzero(near)
+        d2 = np.maximum(((x[i] - x[j]) ** 2).sum(axis=1), LEAST_D2)
+        keep = d2 <= last[i]
+        return ids[i[keep]], ids[j[keep]], d2[keep]
+
+    def table(found: list) -> pa.RecordBatch:
+        kinds = (np.int64, np.int64, np.float64)
+        columns = [pa.array(np.concatenate([f[c] for f in found]) if found else np.empty(0, kinds[c])) for c in range(3)]
+        return pa.RecordBatch.from_arrays(columns, names=["src", "dst", "d2"])
+
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        starts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1)) if batch.num_rows else np.zeros(1, int)
+        found = [pairs(batch.slice(a, b - a)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        rest = batch.slice(starts[-1])  # its group may go on
+        yield table(found)
+    if rest is not None and rest.num_rows:
+        yield table([pairs(rest)])
+
+
+def approx_knn(
+    pts: DataFrame, k: int, trees: int = 8, leaf: int | None = None, passes: int = 10, seed: int = 0, most: int = LEAF_POINTS, least_change: float = 0.002
+) -> DataFrame:
+    """Leaf-mates of several trees, refined by local joins until a pass changes less than a share of the lists.
+
+    k must be less than the number of points.
+    """
     pts = cut(pts, "points")
     n = pts.count()
     if k >= n:
         raise ValueError(f"k is {k}, of {n} points")
-    placed = split_leaves(cut(leaves(pts, trees, leaf or max(64, 10 * k), seed), "leaves"), pts, most, seed)
+    placed = split_leaves(cut(leaves(pts, trees, leaf or max(LEAST_LEAF, 4 * k), seed), "leaves"), pts, most, seed)
     knn = cut(top_k(leaf_candidates(pts, placed, k), k), "knn")
     for _ in range(passes):
-        knn = cut(nn_descent_pass(knn, pts, k), "knn")
-    return knn
+        found = knn.select("src", "dst", "d2", F.lit(0).alias("new")).unionByName(local_joins(knn, pts, k).withColumn("new", F.lit(1)))
+        found = found.where("src <> dst").groupBy("src", "dst").agg(F.min("d2").alias("d2"), F.min("new").alias("new"))
+        order = Window.partitionBy("src").orderBy("d2", "dst")
+        better = cut(found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k), "knn")
+        changed = better.where("new = 1").count()
+        drop(knn)
+        knn = better
+        if changed <= least_change * k * n:
+            break
+    return knn.select("src", "dst", "d2", "rk")
 
 
 def recall(found: DataFrame, true: DataFrame) -> DataFrame:
