@@ -23,6 +23,16 @@ def test_sweep_and_report(spark):
     tables = sweep.report(runs)
     assert tuple(tables["counts"].first()) == (2, 1)
     assert tables["config_k"].first()["std"] is None
+    text = sweep.report_text(tables)
+    assert text.startswith("Runs: 2, successful: 1") and "+- none (1)" in text and text.rstrip().splitlines()[-1].startswith("  k_6: ")
+
+
+def test_kinds_of_sweeps():
+    assert {n: len(sweep.kind(n)) for n in ("baseline", "K", "epochs", "mneg", "coarsening", "comprehensive", "custom")} == {
+        "baseline": 1, "K": 4, "epochs": 16, "mneg": 3, "coarsening": 16, "comprehensive": 21, "custom": 1,
+    }
+    assert sweep.kind("coarsening")[0] == ("pull_2_shrink_0.6", Config(k=100, perplexity=50.0, epochs_coarse=50, epochs_fine=100, pull=2, shrink=0.6))
+    assert sweep.kind("custom", Config(k=7))[0][1].k == 7
 
 
 def test_names_of_a_sweep():

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.operators.knn import block_pairs, exact_knn, pairwise
+from vicinal.session import cut
 
 
 def _stats(value: Column, name: str, spread=F.stddev_pop) -> list[Column]:
@@ -94,10 +97,12 @@ def adjusted_rand(pairs: DataFrame) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """``rows`` with the average rank of ``value`` among all: by distinct values, and those by buckets of
-    their leading digits, so that no task orders the whole table."""
-    counts = rows.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.floor(F.col("__v") * 1000))
+    """``rows`` with the average rank of ``value`` among all: its distinct values are sorted in ranges and
+    numbered within their range, so that no task orders the whole table."""
+    counts = rows.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = cut(counts.orderBy("__v").withColumn("__b", F.spark_partition_id()), "counts")
     totals = counts.groupBy("__b").agg(F.sum("__n").alias("__t"))
+    # one row for each range
     base = totals.select("__b", F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     upto = Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.join(base, "__b").select("__v", (F.col("__base") + F.coalesce(F.sum("__n").over(upto), F.lit(0)) + (F.col("__n") + 1) / 2.0).alias(name))
@@ -105,12 +110,27 @@ def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def spearman(layout: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row: rank correlation of pairwise distances with differences of ``truth(id, value)``."""
+    """One row: rank correlation of pairwise distances with differences of ``truth(id, value)``, and n_pairs."""
     pairs = pairwise(layout).select("src", "dst", F.round(F.sqrt("d2"), 9).alias("d"))
     a = truth.select(F.col("id").alias("src"), F.col("value").alias("va"))
     b = truth.select(F.col("id").alias("dst"), F.col("value").alias("vb"))
     pairs = pairs.join(a, "src").join(b, "dst").select("d", F.abs(F.col("va") - F.col("vb")).cast("double").alias("t"))
-    return average_ranks(average_ranks(pairs, "d", "rd"), "t", "rt").agg(F.corr("rd", "rt").alias("spatial_correlation"))
+    ranked = average_ranks(average_ranks(pairs, "d", "rd"), "t", "rt")
+    return ranked.agg(F.corr("rd", "rt").alias("spatial_correlation"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+def two_sided(r: float | None, n: int) -> float | None:
+    """The chance of a correlation as far from 0 as ``r`` among ``n`` unrelated pairs, by the normal
+    distribution, to which Student's comes as close as 1 / n."""
+    if r is None or n < 3:
+        return None
+    return 0.0 if abs(r) >= 1 else math.erfc(abs(r) * math.sqrt((n - 2) / (1 - r * r)) / math.sqrt(2))
+
+
+def with_pvalue(row: DataFrame) -> DataFrame:
+    """The one row of ``spearman`` with correlation_pvalue."""
+    found = row.first()
+    return row.withColumn("correlation_pvalue", F.lit(two_sided(found["spatial_correlation"], found["n_pairs"])).cast("double"))
 
 
 def knn_classified(knn: DataFrame, labels: DataFrame) -> DataFrame:
@@ -121,11 +141,12 @@ def knn_classified(knn: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def verdicts(metrics: DataFrame) -> DataFrame:
-    """One row of metrics to words for collapse, balance, span, preservation and correlation."""
+    """One row of metrics to words for collapse, duplicates, balance, span, preservation and correlation."""
     c = F.col
     span = F.greatest("x_span", "y_span")
     return metrics.select(
         F.when(c("very_close_pct") > 50, "issue").otherwise("ok").alias("collapse"),
+        F.when(c("duplicate_coords") > 0, "issue").otherwise("ok").alias("duplicates"),
         F.when(c("max_cluster_pct") > 70, "issue").when(c("max_cluster_pct") > 50, "warning").otherwise("ok").alias("balance"),
         F.when(span < 10, "small").when(span > 1000, "large").otherwise("ok").alias("span"),
         F.when(c("knn_overlap_pct") < 30, "issue").when(c("knn_overlap_pct") < 50, "warning").otherwise("good").alias("preservation"),
@@ -133,20 +154,40 @@ def verdicts(metrics: DataFrame) -> DataFrame:
     )
 
 
-def kmeans_sizes(layout: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """One row: how even the clusters of k-means are."""
+def clusters(layout: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(id, v, label) by k-means."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = layout.select("id", array_to_vector("v").alias("features"))
-    found = KMeans(k=k, seed=seed).fit(rows).transform(rows)
-    sizes = found.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    rows = layout.select("id", "v", array_to_vector("v").alias("features"))
+    return KMeans(k=k, seed=seed).fit(rows).transform(rows).select("id", "v", F.col("prediction").cast("long").alias("label"))
+
+
+def cluster_sizes(labelled: DataFrame) -> DataFrame:
+    """One row: how even the clusters (id, label) are."""
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(
-        F.lit(k).alias("k"), (100.0 * F.max("n") / F.sum("n")).alias("max_cluster_pct"), F.min("n").alias("min_cluster_size"),
+        (100.0 * F.max("n") / F.sum("n")).alias("max_cluster_pct"), F.min("n").alias("min_cluster_size"),
         F.stddev_pop("n").alias("cluster_std"), (F.max("n") / F.min("n")).alias("cluster_imbalance"),
     )
 
 
+# The numbers of clusters that a layout is scored for.
+CLUSTERS = (3, 5, 10)
+
+
+def cluster_scores(layout: DataFrame, ks: tuple[int, ...] = CLUSTERS, seed: int = 42) -> DataFrame:
+    """One row: for each k the mean silhouette of k-means and how even its clusters are."""
+    row = None
+    for k in ks:
+        found = cut(clusters(layout, k, seed), "clusters")
+        own = silhouettes(found).agg(F.avg("silhouette").alias("silhouette")).withColumn("one", F.lit(1))
+        own = own.join(cluster_sizes(found).withColumn("one", F.lit(1)), "one")
+        own = own.select("one", *[F.col(c).alias(f"{c}_{k}") for c in own.columns if c != "one"])
+        row = own if row is None else row.join(own, "one")  # each has one row
+    return row.drop("one")
+
+
 # ---- sweeps of runs ----
 
 
@@ -167,15 +208,21 @@ def trend(runs: DataFrame, x: str, y: str) -> DataFrame:
     return runs.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
-#: The parameters of each kind of sweep.
+# The parameters of each kind of sweep, those that differ in the sweep of all, and the baseline.
 SWEEPS: dict[str, dict[str, list]] = {
     "K": {"k": [30, 50, 100, 150]},
-    "perplexity": {"perplexity": [10, 30, 50, 100]},
+    "perplexity": {"perplexity": [30, 50, 75, 100]},
     "lr": {"rate": [50, 100, 200, 400]},
-    "epochs": {"epochs_coarse": [25, 50, 100], "epochs_fine": [50, 100, 200]},
-    "mneg": {"negatives": [3, 5, 7, 10]},
-    "gamma": {"gamma": [1.0, 5.0, 7.0, 10.0]},
+    "epochs": {"epochs_coarse": [10, 25, 50, 100], "epochs_fine": [20, 50, 100, 200]},
+    "mneg": {"negatives": [3, 5, 10]},
+    "gamma": {"gamma": [1.0, 3.0, 5.0, 7.0]},
+    "coarsening": {"pull": [2, 3, 4, 5], "shrink": [0.6, 0.7, 0.8, 0.9]},
 }
+COMPREHENSIVE_EPOCHS, COMPREHENSIVE_GAMMAS = [(25, 50), (50, 100), (100, 200)], [3.0, 5.0, 7.0]
+BASELINE = {
+    "k": 100, "perplexity": 50.0, "rate": 200.0, "epochs_coarse": 50, "epochs_fine": 100, "negatives": 5,
+    "gamma_coarse": 7.0, "gamma_fine": 7.0, "pull": 3, "shrink": 0.8,
+}
 
 
 def sweep_configs(spark, sweep: dict[str, list]) -> DataFrame:

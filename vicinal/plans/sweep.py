@@ -46,10 +46,30 @@ def configs(base: Config, sweep: dict[str, list]) -> list[tuple[str, Config]]:
     return out
 
 
-def run_sweep(spark: SparkSession, points: DataFrame, base: Config, sweep: dict[str, list], most: int | None = None, labels: DataFrame | None = None) -> DataFrame:
-    """One row for each run: test_id, success, error, elapsed_time, config_* and metrics (null where it failed)."""
+def kind(name: str, custom: Config | None = None) -> list[tuple[str, Config]]:
+    """(test id, configuration) of a kind of sweep: those of evaluate.SWEEPS around the baseline, ``baseline``
+    alone, ``comprehensive`` with one parameter after the other, and ``custom``."""
+    base = Config(**evaluate.BASELINE)
+    if name == "baseline":
+        return [("baseline", base)]
+    if name == "custom":
+        return [("custom", custom or base)]
+    if name != "comprehensive":
+        return configs(base, evaluate.SWEEPS[name])
+    out = [c for one in ("K", "perplexity", "lr") for c in configs(base, evaluate.SWEEPS[one])]
+    out += [c for a, b in evaluate.COMPREHENSIVE_EPOCHS for c in configs(base, {"epochs_coarse": [a], "epochs_fine": [b]})]
+    return out + configs(base, evaluate.SWEEPS["mneg"]) + configs(base, {"gamma": evaluate.COMPREHENSIVE_GAMMAS})
+
+
+def run_sweep(
+    spark: SparkSession, points: DataFrame, base: Config, sweep: dict[str, list] | list[tuple[str, Config]], most: int | None = None, labels: DataFrame | None = None
+) -> DataFrame:
+    """One row for each run: test_id, success, error, elapsed_time, config_* and metrics (null where it failed).
+
+    ``sweep``: lists of parameters around ``base``, or the configurations of ``kind``.
+    """
     rows: DataFrame | None = None
-    for test_id, config in configs(base, sweep)[:most]:
+    for test_id, config in (configs(base, sweep) if isinstance(sweep, dict) else sweep)[:most]:
         began = time.time()
         try:
             found = cut(metrics(points, embed(spark, points, config), config.dim, labels=labels), "metrics")
@@ -68,5 +88,18 @@ def report(runs: DataFrame, metric: str = "knn_overlap_pct") -> dict[str, DataFr
     done = runs.where("success")
     counts = runs.agg(F.count(F.lit(1)).alias("total"), F.count_if("success").alias("successful"))
     tables = {"counts": counts, "elapsed_time": evaluate.scalars(done, "elapsed_time"), metric: evaluate.scalars(done, metric), "best": evaluate.best(done, metric, "test_id")}
-    swept = ("config_k", "config_perplexity", "config_rate", "config_epochs_coarse", "config_epochs_fine", "config_negatives", "config_gamma_fine")
+    swept = ("config_k", "config_perplexity", "config_rate", "config_epochs_coarse", "config_epochs_fine", "config_negatives", "config_gamma_fine", "config_pull", "config_shrink")
     return tables | {name: evaluate.sensitivity(done, name, metric) for name in swept}
+
+
+def report_text(tables: dict[str, DataFrame], metric: str = "knn_overlap_pct") -> str:
+    """The report as text: counts, times, the metric, its sensitivity to each parameter and the best runs."""
+    counts, time_, found = (tables[name].first() for name in ("counts", "elapsed_time", metric))
+    show = lambda x, unit="": "none" if x is None else f"{x:.2f}{unit}"
+    out = [f"Runs: {counts['total']}, successful: {counts['successful']}", ""]
+    for title, row, unit in (("Seconds", time_, "s"), (metric, found, "")):
+        out += [title, *[f"  {name}: {show(row[name], unit)}" for name in ("mean", "median", "least", "most")], ""]
+    for name in sorted(n for n in tables if n.startswith("config_")):
+        out += [name, *[f"  {r[name]}: {show(r['mean'])} +- {show(r['std'])} ({r['n']})" for r in tables[name].orderBy(name).collect()], ""]
+    out += [f"Best by {metric}", *[f"  {r['test_id']}: {show(r[metric])}" for r in tables["best"].collect()]]
+    return "\n".join(out) + "\n"
