@@ -1,20 +1,21 @@
 """Registered queries over the driver's tables, and the SQL that each is held against.
 
-Layout queries take the first two components of every vector as coordinates; grouping queries take groups
-from a hash of the id; sweep queries take ``part`` as a table of runs.
+Layout queries take the first two components of every vector as coordinates (``layout_scores`` scores a real
+one); grouping queries take groups from a hash of the id; sweep queries take ``part`` as a table of runs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.functions import vectors as fx
 from vicinal.operators import coarsen, evaluate, graph, knn, layout, probability, sampling
-from vicinal.session import new_dir
+from vicinal.plans.sweep import flat as flat_layout
+from vicinal.plans.sweep import metrics
+from vicinal.session import cut, new_dir
 from vicinal.sources import vectors as files
 
 K, GROUPS, TARGET, SIGMA = 10, 97, 5.0, 0.7
@@ -150,9 +151,10 @@ def edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_SYM} SELECT (SELECT count(*) FROM sym WHERE src IS NULL OR dst IS NULL) AS null_ends, "
+    f"WITH {_SYM}, found AS (SELECT (SELECT count(*) FROM sym WHERE src IS NULL OR dst IS NULL) AS null_ends, "
     "(SELECT count(*) FROM sym WHERE src NOT IN (SELECT id FROM pts) OR dst NOT IN (SELECT id FROM pts)) AS unknown_ends, "
-    "(SELECT count(*) - count(DISTINCT (src, dst)) FROM sym) AS repeated, true AS valid"
+    "(SELECT count(*) - count(DISTINCT (src, dst)) FROM sym) AS repeated, (SELECT count(*) FROM pts) AS n) "
+    "SELECT null_ends, unknown_ends, repeated, null_ends = 0 AND unknown_ends = 0 AND repeated = 0 AND n > 0 AS valid FROM found"
 )
 def graph_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.validate(_points(spark, sf_dir), _edges(spark, sf_dir))
@@ -424,13 +426,70 @@ def embed_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.embed(spark, points, config)
 
 
-@query()
+# ---- files ----
+
+_ROW = "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, embedding, label FROM embeddings"
+
+
+def _vector_file(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, int]:
+    path = f"{new_dir(spark, 'vectors')}/{name}"
+    return path, files.write_vectors(_table(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")), path)
+
+
+def _parts(vectors: DataFrame, places: tuple[int, ...]) -> DataFrame:
+    return vectors.select("id", F.size("features").cast("long").alias("n"), *[F.col("features")[k].cast("double").alias(f"f{k}") for k in places])
+
+
+@query("SELECT id, len(embedding)::BIGINT AS n, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS f{k}" for k in range(64)) + f" FROM ({_ROW})")
 def fvecs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A thousand vectors of a rule, written as fvecs and read again in byte ranges (a fixture, not a table)."""
-    x = (np.arange(64_000, dtype=np.float32) * np.float32(0.1)).reshape(1000, 64)
-    path = f"{new_dir(spark, 'vectors')}/x.fvecs"
-    files.write_fvecs(x, path)
-    return files.read_vectors(spark, path, 1000, 64)
+    """All vectors, written as fvecs and read again in byte ranges."""
+    path, n = _vector_file(spark, sf_dir, "x.fvecs")
+    return _parts(files.read_vectors(spark, path, n, 64), tuple(range(64)))
+
+
+@query("SELECT id, len(embedding)::BIGINT AS n, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS f{k}" for k in range(64)) + f" FROM ({_ROW})")
+def raw_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as raw float32; how many they are follows from the file's size."""
+    return _parts(files.read_matrix(spark, _vector_file(spark, sf_dir, "x.f32")[0], 64), tuple(range(64)))
+
+
+@query("SELECT id, 4::BIGINT AS n, " + ", ".join(f"embedding[{k + 4}]::DOUBLE AS f{k}" for k in range(4)) + f" FROM ({_ROW}) WHERE id < (SELECT count(*) - 1 FROM embeddings)")
+def raw_scan_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a raw file with an offset and a stride: four components from the fourth on."""
+    path, n = _vector_file(spark, sf_dir, "x.f32")
+    return _parts(files.read_raw(spark, path, n - 1, 4, stride=64, offset=3), (0, 1, 2, 3))
+
+
+@query(f"SELECT vec_id AS id, {_cols(x='embedding[1]::DOUBLE', y='embedding[2]::DOUBLE', z='embedding[3]::DOUBLE')} FROM embeddings")
+def layout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout in three dimensions, written in both forms; the table read again, and checked against the raw one."""
+    at = _points(spark, sf_dir).select("id", *[F.col("v")[k].alias(c) for k, c in enumerate(layout.AXES)])
+    raw, folder = files.write_layout(at, f"{new_dir(spark, 'layout')}/at")
+    read = files.read_layout(spark, folder, 3)
+    ids = sampling.running(read.select("id", F.lit(1).alias("one")), "one", F.floor(F.col("id") / 4096), ["id"]).select("id", F.col("before").cast("long").alias("row"))
+    both = read.join(ids, "id").join(files.read_matrix(spark, raw, 3).withColumnRenamed("id", "row"), "row")
+    sound = F.abs(F.col("features")[0] - F.col("x")) <= 1e-5
+    return both.select("id", *[F.when(sound, _r(F.col(c))).alias(c) for c in layout.AXES])
+
+
+@query(f"SELECT id, label::BIGINT AS label FROM ({_ROW})")
+def label_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as a .npy array, in order of the points."""
+    path = f"{new_dir(spark, 'labels')}/x_colors.npy"
+    files.write_labels(_labels(spark, sf_dir), path)
+    return files.read_labels(spark, path)
+
+
+@query("SELECT n_name AS test_id, n_nationkey * 1.5::DOUBLE AS elapsed_time, n_nationkey::BIGINT AS config_K, n_regionkey * 0.5::DOUBLE AS config_gamma FROM nation WHERE n_nationkey % 5 <> 0")
+def sweep_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nation`` as a sweep's results in JSON, of which the successful ones are read with their configuration."""
+    k = F.col("n_nationkey")
+    config = F.struct(k.cast("long").alias("K"), (F.col("n_regionkey") * 0.5).cast("double").alias("gamma"))
+    runs = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    runs = runs.select((k % 5 != 0).alias("success"), F.col("n_name").alias("test_id"), (k * 1.5).cast("double").alias("elapsed_time"), config.alias("config"))
+    path = f"{new_dir(spark, 'runs')}/results.json"
+    files.write_text("[" + ",\n".join(runs.toJSON().collect()) + "]", path)
+    return files.read_runs(spark, path).drop("success").select("test_id", "elapsed_time", "config_K", "config_gamma")
 
 
 # ---- scores ----
@@ -440,10 +499,14 @@ def _stat(e: str, name: str) -> str:
     return _cols(**{f"{name}_mean": f"avg({e})", f"{name}_median": f"median({e})", f"{name}_std": f"stddev_pop({e})"})
 
 
+_SHARED = (
+    f"{_PAIRS}, {_XYPAIRS}, {_TOP.format('ka', 'pairs', 30)}, {_TOP.format('kb', 'xp', 30)}, "
+    "sh AS (SELECT id, count(b.src) AS o FROM pts LEFT JOIN ka a ON a.src = id LEFT JOIN kb b ON b.src = a.src AND b.dst = a.dst GROUP BY id)"
+)
+
+
 @query(
-    f"WITH {_PAIRS}, {_XYPAIRS}, {_TOP.format('ka', 'pairs', 30)}, {_TOP.format('kb', 'xp', 30)}, "
-    "sh AS (SELECT id, count(b.src) AS o FROM pts LEFT JOIN ka a ON a.src = id LEFT JOIN kb b ON b.src = a.src AND b.dst = a.dst GROUP BY id) "
-    f"SELECT {_stat('o', 'knn_overlap')}, min(o) AS knn_overlap_min, max(o) AS knn_overlap_max, {_cols(knn_overlap_pct='100.0 * avg(o) / 30')} FROM sh"
+    f"WITH {_SHARED} SELECT {_stat('o', 'knn_overlap')}, min(o) AS knn_overlap_min, max(o) AS knn_overlap_max, {_cols(knn_overlap_pct='100.0 * avg(o) / 30')} FROM sh"
 )
 def knn_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.preservation(_points(spark, sf_dir), _flat(spark, sf_dir), 30))
@@ -500,11 +563,13 @@ def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.adjusted_rand(pairs))
 
 
-@query(
-    f"WITH {_XY}, p AS (SELECT round(sqrt(greatest(pow(a.x - b.x, 2) + pow(a.y - b.y, 2), 1e-12)), 9) AS d, abs(a.label - b.label) AS t FROM xy a JOIN xy b ON a.id < b.id), "
-    "r AS (SELECT rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0 AS rd, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS rt FROM p) "
-    f"SELECT {_cols(spatial_correlation='corr(rd, rt)')} FROM r"
+_RANKS = (
+    "rp AS (SELECT round(sqrt(greatest(pow(a.x - b.x, 2) + pow(a.y - b.y, 2), 1e-12)), 9) AS d, abs(a.label - b.label) AS t FROM xy a JOIN xy b ON a.id < b.id), "
+    "rk AS (SELECT rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0 AS rd, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS rt FROM rp)"
 )
+
+
+@query(f"WITH {_XY}, {_RANKS} SELECT {_cols(spatial_correlation='corr(rd, rt)')}, count(*) AS n_pairs FROM rk")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.spearman(_flat(spark, sf_dir), _labels(spark, sf_dir).select("id", F.col("label").alias("value"))))
 
@@ -519,15 +584,19 @@ def knn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_XYPAIRS}, m AS (SELECT 100.0 * avg((d < 0.1)::INT) AS c FROM (SELECT src, sqrt(min(d2)) AS d FROM xp GROUP BY src)), "
-    "s AS (SELECT greatest(max(x) - min(x), max(y) - min(y)) AS span FROM xy), l AS (SELECT 100.0 * max(n) / sum(n) AS b FROM (SELECT count(*) AS n FROM xy GROUP BY label)) "
-    "SELECT CASE WHEN c > 50 THEN 'issue' ELSE 'ok' END AS collapse, CASE WHEN b > 70 THEN 'issue' WHEN b > 50 THEN 'warning' ELSE 'ok' END AS balance, "
-    "CASE WHEN span < 10 THEN 'small' WHEN span > 1000 THEN 'large' ELSE 'ok' END AS span, 'issue' AS preservation, 'warning' AS correlation FROM m, s, l"
+    f"WITH {_SHARED}, {_RANKS}, m AS (SELECT 100.0 * avg((d < 0.1)::INT) AS c FROM (SELECT src, sqrt(min(d2)) AS d FROM xp GROUP BY src)), "
+    "s AS (SELECT greatest(max(x) - min(x), max(y) - min(y)) AS span, count(*) - count(DISTINCT (x, y)) AS twice FROM xy), "
+    "l AS (SELECT 100.0 * max(n) / sum(n) AS b FROM (SELECT count(*) AS n FROM xy GROUP BY label)), "
+    "o AS (SELECT 100.0 * avg(o) / 30 AS kept FROM sh), r AS (SELECT corr(rd, rt) AS rho FROM rk) "
+    "SELECT CASE WHEN c > 50 THEN 'issue' ELSE 'ok' END AS collapse, CASE WHEN twice > 0 THEN 'issue' ELSE 'ok' END AS duplicates, "
+    "CASE WHEN b > 70 THEN 'issue' WHEN b > 50 THEN 'warning' ELSE 'ok' END AS balance, CASE WHEN span < 10 THEN 'small' WHEN span > 1000 THEN 'large' ELSE 'ok' END AS span, "
+    "CASE WHEN kept < 30 THEN 'issue' WHEN kept < 50 THEN 'warning' ELSE 'good' END AS preservation, "
+    "CASE WHEN rho > 0.5 THEN 'good' WHEN rho < 0.3 THEN 'warning' ELSE 'ok' END AS correlation FROM m, s, l, o, r"
 )
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _flat(spark, sf_dir)
     one = lambda df: df.withColumn("one", F.lit(1))
-    sep = evaluate.separation(flat).select((100.0 * F.col("under_01") / (F.col("unique_coords") + F.col("duplicate_coords"))).alias("very_close_pct"))
+    sep = evaluate.separation(flat).select("duplicate_coords", (100.0 * F.col("under_01") / (F.col("unique_coords") + F.col("duplicate_coords"))).alias("very_close_pct"))
     sizes = _labels(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg((100.0 * F.max("n") / F.sum("n")).alias("max_cluster_pct"))
     row = one(sep).join(one(evaluate.spread(flat)), "one").join(one(sizes), "one")
     row = row.join(one(knn_preservation(spark, sf_dir)), "one").join(one(spearman(spark, sf_dir)), "one")
@@ -535,8 +604,27 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def kmeans_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.kmeans_sizes(_flat(spark, sf_dir), 10)
+def kmeans_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.cluster_scores(_flat(spark, sf_dir))
+
+
+@query(
+    f"WITH {_XY}, n AS (SELECT label, count(*) AS n FROM xy GROUP BY label) SELECT {_cols(max_cluster_pct='100.0 * max(n) / sum(n)')}, min(n) AS min_cluster_size, "
+    f"{_cols(cluster_std='stddev_pop(n)', cluster_imbalance='max(n) / min(n)')} FROM n"
+)
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.cluster_sizes(_labels(spark, sf_dir)))
+
+
+@query()
+def layout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: all scores of the layout of ``embed_2d``."""
+    points = cut(_points(spark, sf_dir), "points")
+    at = cut(embed_2d(spark, sf_dir), "layout")
+    flat = cut(flat_layout(at), "flat")
+    one = lambda df: df.withColumn("one", F.lit(1))
+    row = one(metrics(points, at, labels=_labels(spark, sf_dir))).join(one(evaluate.cluster_scores(flat)), "one")  # each has one row
+    return row.drop("one")
 
 
 # ---- sweeps ----
@@ -563,7 +651,14 @@ def sweep_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT (row_number() OVER (ORDER BY a, b) - 1)::INT AS test, a::DOUBLE AS epochs_coarse, b::DOUBLE AS epochs_fine FROM unnest([25, 50, 100]) x(a), unnest([50, 100, 200]) y(b)"
+    "SELECT (row_number() OVER (ORDER BY a, b) - 1)::INT AS test, a::DOUBLE AS epochs_coarse, b::DOUBLE AS epochs_fine FROM unnest([10, 25, 50, 100]) x(a), unnest([20, 50, 100, 200]) y(b)"
 )
 def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.sweep_configs(spark, evaluate.SWEEPS["epochs"])
+
+
+@query(
+    "SELECT (row_number() OVER (ORDER BY a, b) - 1)::INT AS test, a::DOUBLE AS pull, b::DOUBLE AS shrink FROM unnest([2, 3, 4, 5]) x(a), unnest([0.6, 0.7, 0.8, 0.9]) y(b)"
+)
+def sweep_coarsening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.sweep_configs(spark, evaluate.SWEEPS["coarsening"])

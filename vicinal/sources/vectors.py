@@ -122,6 +122,30 @@ def write_raw(x: np.ndarray, path: str) -> None:
         f.write(np.ascontiguousarray(x, "<f4").tobytes())
 
 
+def write_vectors(vectors: DataFrame, path: str) -> int:
+    """``vectors(id, features)`` in order of id, as fvecs or raw float32 by the name's end, and how many they
+    are.  They stream through the driver a partition at a time, since one file has one writer."""
+    n, dim = 0, None
+    with _create(path) as f:
+        for row in vectors.select("id", "features").orderBy("id").toLocalIterator(prefetchPartitions=True):
+            x = np.asarray(row["features"], "<f4")
+            dim = len(x) if dim is None else dim
+            if len(x) != dim:
+                raise ValueError(f"vector {row['id']} has {len(x)} components, not {dim}")
+            f.write((struct.pack("<i", dim) if path.endswith(".fvecs") else b"") + x.tobytes())
+            n += 1
+    return n
+
+
+def read_matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """(id, features) of a whole raw file: as many rows of ``dim`` as its size holds."""
+    with _open(path) as f:
+        n, rest = divmod(_size(f), 4 * dim)
+    if rest:
+        raise ValueError(f"{path} isn't a whole number of rows of {dim}")
+    return read_raw(spark, path, n, dim)
+
+
 def _axes(layout: DataFrame) -> list[str]:
     axes = [c for c in ("x", "y", "z") if c in layout.columns]
     if axes not in (["x", "y"], ["x", "y", "z"]):
@@ -157,10 +181,18 @@ def read_layout(spark: SparkSession, path: str, dim: int = 2) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
+def write_labels(labels: DataFrame, path: str) -> None:
+    """``labels(id, label)`` as a .npy array in order of id; one file has one writer, so it holds them all."""
+    values = np.array([r["label"] for r in labels.orderBy("id").select("label").toLocalIterator()])
+    with _create(path) as f:
+        np.lib.format.write_array(f, values)
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame | None:
     """(id, label) of a .npy array in order; None if there is no such file."""
     try:
-        values = np.load(path)
+        with _open(path) as f:
+            values = np.lib.format.read_array(f)
     except FileNotFoundError:
         return None
     kind = "long" if np.issubdtype(values.dtype, np.integer) else "double"
@@ -180,5 +212,10 @@ def write_metrics(metrics: DataFrame, folder: str) -> None:
     metrics.write.mode("overwrite").json(folder)
 
 
+def write_text(text: str, path: str) -> None:
+    with _create(path) as f:
+        f.write(text.encode())
+
+
 def write_runs(runs: DataFrame, folder: str) -> None:
     runs.write.mode("overwrite").csv(folder, header=True)
