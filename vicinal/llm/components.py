@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.session import cut
+from vicinal.session import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,10 +13,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among the neighbours, then the label of that label, so paths halve.
     Nodes without a link aren't in the result; repeated links and links of a node to itself do no harm.
+    A round's table is deleted once the next one is written.
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
+    table = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
     while True:
+        labels = table.select("node", "label")
         told = (
             both.join(labels.select(F.col("node").alias("b"), "label"), "b")
             .groupBy(F.col("a").alias("node"))
@@ -28,6 +30,8 @@ def components(links: DataFrame) -> DataFrame:
             nearer.join(ahead, "now", "left").select("node", "was", F.least("now", F.coalesce("next", "now")).alias("label")),
             "labels",
         )
-        labels = step.select("node", "label")
+        drop(table)
+        table = step
         if step.where("was <> label").isEmpty():
-            return labels
+            drop(both)
+            return step.select("node", "label")
