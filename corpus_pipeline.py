@@ -1,7 +1,9 @@
 """Corpus pipeline: quality rules, line dedup, near-dedup, decontamination, BPE; each stage an operator's decisions.
 
 Every stage takes (spark, docs, sf_dir) and gives the columns of ``docs``, the last one tokens instead.
-``run`` writes each stage's rows to the shared folder and reads them again as the next one's ``docs``.
+A stage works on rows, whatever their ids: nulls, repeated ids and repeated rows are rows of their own, and
+only near-dedup makes repeated rows one.  An empty table gives an empty one, texts are worked on whole,
+however long, and columns beyond those of ``documents`` go along.  ``run`` writes each stage's rows to the shared folder and reads them again as the next one's ``docs``.
 """
 
 from __future__ import annotations
@@ -10,30 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.llm.bpe import bpe_codes
-from vicinal.llm.decontaminate import contamination
-from vicinal.llm.neardup import near_duplicates
+from vicinal.llm.decontaminate import uncontaminated
+from vicinal.llm.neardup import without_near_duplicates
 from vicinal.llm.queries import vocabulary
 from vicinal.llm.repeats import line_dedup
-from vicinal.llm.rules import quality_rules
+from vicinal.llm.rules import passed
 from vicinal.session import cut
 
-#: Stands for a row's id and text while a stage decides.
-KEY = "__row_key"
-
-
-def _without_rejected(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``verdicts(doc_id, kept)``, of which doc_id is KEY: the rows of ``docs`` that aren't rejected."""
-    rejected = cut(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias(KEY)).distinct(), "rejected")
-    return _keyed(docs).join(rejected.hint("merge"), KEY, "left_anti").select(*docs.columns)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return _without_rejected(docs, quality_rules(_keyed(docs), id_col=KEY))
+    return passed(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,25 +33,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least id, and one row of each id and text.
+    """One row of each group of near copies stays, that of the least id.
 
-    One id on different texts stands for several documents.  A row without an id stays.
+    Every row stands for itself, so one id on different texts is as several documents.  A row without an id
+    or a word stays.
     """
-    keyed = docs.withColumn(KEY, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
-    found = near_duplicates(keyed, id_col=KEY).where("doc_id is not null").select(F.col("doc_id").alias(KEY), "component_id")
-    ids = keyed.where(F.col(KEY).isNotNull()).select(KEY, F.col("doc_id").cast("long").alias("id")).distinct()
-    members = cut(found.distinct().join(ids, KEY), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct("id", KEY))[KEY].alias(KEY))
-    gone = cut(members.select(KEY).join(first.select(KEY), KEY, "left_anti"), "gone")
-    left = keyed.join(gone.hint("merge"), KEY, "left_anti")
-    if not keyed.where(F.col(KEY).isNotNull()).groupBy(KEY).count().where("count > 1").isEmpty():
-        left = left.where(F.col(KEY).isNotNull()).dropDuplicates([KEY]).unionByName(left.where(F.col(KEY).isNull()))
-    return left.select(*docs.columns)
+    return without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    return _without_rejected(docs, contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY))
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
