@@ -12,7 +12,7 @@ from vicinal.llm.bpe import bpe_codes
 from vicinal.llm.classifier import classified
 from vicinal.llm.decontaminate import contamination
 from vicinal.llm.neardup import near_duplicates
-from vicinal.llm.repeats import SENTENCE_RUNS, line_dedup, substring_dedup
+from vicinal.llm.repeats import LONG_SENTENCE, SENTENCE_RUNS, line_dedup, substring_dedup
 from vicinal.llm.sharding import assign_shards
 from vicinal.llm.unigram import token_counts
 from vicinal.llm.warc import archived
@@ -70,7 +70,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("n_units").alias("n_sentences"), "n_removed", "text")
+    return found.select("doc_id", F.col("n_units").alias("n_sentences"), "n_removed", "n_single", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -159,7 +159,7 @@ FROM p
 """
 
 
-def _repeats(split: str, joint: str, shapes: tuple[tuple[int, int], ...], count: str) -> str:
+def _repeats(split: str, joint: str, shapes: tuple[tuple[int, int], ...], count: str, single: str = "") -> str:
     """Windows by their very text, first occurrences by order, and what the others cover."""
     trim = r"rtrim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
     windows = " UNION ALL ".join(
@@ -173,9 +173,9 @@ WITH u AS (SELECT doc_id, text, {split} AS units FROM documents),
 n AS (SELECT doc_id, list_filter(list_transform(range(1, len(units) + 1), lambda k: {{'k': k, 's': {trim.format("units[k]")}}}), lambda x: x.s <> '') AS us FROM u),
 v AS ({windows}),
 o AS (SELECT doc_id, i, w, row_number() OVER (PARTITION BY w, win ORDER BY doc_id, i) AS r FROM v),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + w)) AS i FROM o WHERE r > 1),
-k AS (SELECT g.doc_id, list(n.us[g.i].k) AS gone FROM g JOIN n USING (doc_id) GROUP BY g.doc_id)
-SELECT u.doc_id, len(units)::BIGINT AS {count}, coalesce(len(gone), 0)::BIGINT AS n_removed,
+g AS (SELECT doc_id, i, max(w) AS w FROM (SELECT doc_id, w, unnest(range(i, i + w)) AS i FROM o WHERE r > 1) GROUP BY doc_id, i),
+k AS (SELECT g.doc_id, list(n.us[g.i].k) AS gone, count(*) FILTER (WHERE g.w = 1) AS alone FROM g JOIN n USING (doc_id) GROUP BY g.doc_id)
+SELECT u.doc_id, len(units)::BIGINT AS {count}, coalesce(len(gone), 0)::BIGINT AS n_removed, {single}
   CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(units) + 1), lambda j: NOT list_contains(gone, j)), lambda j: units[j]), {joint}) END AS text
 FROM u LEFT JOIN k USING (doc_id)
 """
@@ -191,5 +191,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _op3(),
     "op5_warc": _OP5,
     "op8_line_dedup": _repeats("string_split(text, chr(10))", "chr(10)", ((3, 1),), "n_lines"),
-    "op10_substring_dedup": _repeats(_SENTENCES, "''", SENTENCE_RUNS, "n_sentences"),
+    "op10_substring_dedup": _repeats(_SENTENCES, "''", SENTENCE_RUNS + LONG_SENTENCE, "n_sentences", "coalesce(alone, 0)::BIGINT AS n_single,"),
 }

@@ -3,7 +3,8 @@
 Line dedup hashes every overlapping window of three lines; substring dedup hashes every run of several
 sentences.  Windows are grouped by 128 bits of hash; the first occurrence, in order of document id and
 place, stays, and what any later occurrence covers goes.  A group of occurrences is never collected: the
-first one is a pre-aggregated minimum, and the others find it by a join that can be split.
+first one is a pre-aggregated minimum, and the others find it by a join that can be split.  Windows are cut
+once and written; only those that may stand twice, and texts that may lose something, come to a join.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm.bloom import candidates, flagged, marks
 from vicinal.session import cut
 
 WHITE = r"[ \t\n\x0B\f\r]"
 #: Set between sentences; a text that holds it is taken as one sentence.
 MARK = "\ue000\ue001\ue000"
-#: Runs of three sentences and the characters that they must have, so that chance repeats of very short
-#: ones stay; and shorter runs that are as long as a passage.
-SENTENCE_RUNS = ((3, 60), (2, 150), (1, 280))
+#: Runs of several sentences and the characters that they must have, so that chance repeats of very short
+#: ones stay.
+SENTENCE_RUNS = ((3, 60), (2, 150))
+#: An extra beside the runs: single sentences as long as a passage, counted apart as n_single.
+LONG_SENTENCE = ((1, 280),)
 
 
 def lines(text: Column) -> Column:
@@ -55,11 +59,13 @@ def _windows(units: Column, shapes: tuple[tuple[int, int], ...]) -> Column:
 def without_repeats(
     docs: DataFrame, id_col: str, text_col: str, split: Callable[[Column], Column], joint: str, shapes: tuple[tuple[int, int], ...]
 ) -> DataFrame:
-    """``row`` (struct of all columns of ``docs``), doc_id, text without later repeats, n_units, n_removed.
+    """``row`` (struct of all columns of ``docs``), doc_id, text without later repeats, n_units, n_removed, and
+    n_single, how many of those only a repeat of themselves alone (a shape of width 1) takes.
 
     Units without a word belong to no window and stay.  Rows that are alike in id and text are one
     document and fare alike; one id on different texts stands for several documents, in order of a hash
-    of the text.  Null ids come first.  A null text stays null with no units.
+    of the text.  Null ids come first.  A null text stays null with no units.  A text of any length is cut
+    as a whole: its windows are an array in one row, some 40 bytes for each unit and shape.
     """
     text = F.col(text_col).cast("string")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -71,18 +77,25 @@ def without_repeats(
     )
     worded = F.filter(hashed, lambda x: x["n"] > 0)
     windows = base.select("doc_id", "th", worded.alias("units")).select("doc_id", "th", F.explode(_windows(F.col("units"), shapes)).alias("x"))
-    windows = windows.select("doc_id", "th", "x.a", "x.b", "x.i", "x.w")
+    windows = cut(windows.select("doc_id", "th", "x.a", "x.b", "x.i", "x.w"), "windows")
     first = cut(
         windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "i")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "first"
     )
-    later = windows.join(first.hint("merge"), ["a", "b"]).where(F.struct("doc_id", "th", "i") != F.col("first"))
+    again = candidates(windows, marks(first, "a", "b"), "a", "b")
+    later = again.join(first.hint("merge"), ["a", "b"]).where(F.struct("doc_id", "th", "i") != F.col("first"))
     gone = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("i", "w")).alias("runs"))
-    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["w"] - 1))))
-    gone = cut(gone.select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), covered.alias("gone")), "gone")
-    # at every size by the same plan, which sends each text once
-    joined = base.join(gone.hint("merge"), base.doc_id.eqNullSafe(gone.g_id) & (base.th == gone.g_th), "left")
+    cover = lambda runs: F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["i"], r["i"] + r["w"] - 1))))
+    several = F.size(cover(F.filter("runs", lambda r: r["w"] > 1)))
+    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), cover(F.col("runs")).alias("gone"), several.alias("several"))
+    gone = cut(gone, "gone")
+    # at every size by the same plan, which sends only texts that may lose something
+    base = flagged(base, marks(gone, "g_id", "g_th"), "doc_id", "th")
+    sent = base.where("f_maybe").drop("f_maybe")
+    joined = sent.join(gone.hint("merge"), sent.doc_id.eqNullSafe(gone.g_id) & (sent.th == gone.g_th), "left")
+    whole = base.where("not f_maybe").drop("f_maybe").withColumn("gone", F.lit(None).cast("array<int>")).withColumn("several", F.lit(None).cast("int"))
+    joined = joined.select(*whole.columns).unionByName(whole)
     pieces = split(F.col("text"))
-    kept = joined.select("row", "doc_id", "text", pieces.alias("pieces"), "gone")
+    kept = joined.select("row", "doc_id", "text", pieces.alias("pieces"), "gone", "several")
     # places among the units with a word become places among all units
     worded_at = F.transform(F.filter(F.transform("pieces", lambda x, at: F.struct(F.length(trimmed(x)).alias("n"), at.alias("at"))), lambda x: x["n"] > 0), lambda x: x["at"])
     # as an element of an array the places are found once for a text, not once for each unit that goes
@@ -93,8 +106,9 @@ def without_repeats(
     return kept.select(
         "row", "doc_id", left.alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("pieces")).cast("long").alias("n_units"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"),
-    ).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
+        F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_removed"),
+        F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop") - F.col("several")).cast("long").alias("n_single"),
+    )
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -103,7 +117,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shapes: tuple[tuple[int, int], ...] = SENTENCE_RUNS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shapes: tuple[tuple[int, int], ...] = SENTENCE_RUNS,
+    extra: tuple[tuple[int, int], ...] = LONG_SENTENCE,
 ) -> DataFrame:
-    """Runs of sentences as in SENTENCE_RUNS; see ``without_repeats`` for odd rows."""
-    return without_repeats(docs, id_col, text_col, sentences, "", shapes)
+    """Runs of several sentences as in ``shapes``, and single ones as in ``extra`` (``()``: none); see
+    ``without_repeats`` for odd rows."""
+    return without_repeats(docs, id_col, text_col, sentences, "", shapes + extra)
