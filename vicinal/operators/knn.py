@@ -22,8 +22,9 @@ SAMPLE_POINTS = 20_000
 LEAF_POINTS = 4096
 #: Points that a leaf of a tree is to have at least; a block of so many is compared as one product of matrices.
 LEAST_LEAF = 256
-#: Reverse neighbours, in multiples of k, that one local join takes; those of a hub are dealt to several.
-REVERSE = 4
+#: Nearest neighbours of a vertex that take part in local joins, and reverse ones that one join takes; those
+#: of a hub are dealt to several.
+JOINED, REVERSE = 16, 32
 
 
 def points(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -266,19 +267,19 @@ def leaf_candidates(pts: DataFrame, placed: DataFrame, k: int, most: int = LEAF_
     return left.unionByName(right).groupBy("tree", "leaf", "i", "j").applyInArrow(run, "src long, dst long, d2 double")
 
 
-def local_joins(knn: DataFrame, pts: DataFrame, k: int, most: int | None = None) -> DataFrame:
-    """(src, dst, d2) of pairs that have a neighbour in common, as neighbours or reverse neighbours of it, and
-    that would enter src's list.
+def local_joins(knn: DataFrame, pts: DataFrame, k: int, joined: int = JOINED, most: int = REVERSE) -> DataFrame:
+    """(src, dst, d2) of pairs that have a neighbour in common, as one of its ``joined`` nearest or of those of
+    which it is one, and that would enter src's list, or are in it.
 
     Every vertex gathers the vectors of its neighbours and of up to ``most`` reverse ones, a hub in several
     parts (of which reverse neighbours in two parts don't meet), and compares them.  So a vector is sent once for each list that it stands in, not
     once for each pair.
     """
-    most = most or REVERSE * k
-    back = knn.select(F.col("dst").alias("at"), F.col("src").alias("id"))
+    near = knn.where(F.col("rk") <= joined)
+    back = near.select(F.col("dst").alias("at"), F.col("src").alias("id"))
     parts = back.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
     back = back.join(parts, "at").select("at", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id")
-    ahead = knn.select(F.col("src").alias("at"), F.col("dst").alias("id")).join(parts, "at", "left")
+    ahead = near.select(F.col("src").alias("at"), F.col("dst").alias("id")).join(parts, "at", "left")
     ahead = ahead.select("at", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "id")
     last = knn.groupBy(F.col("src").alias("id")).agg(F.max(F.when(F.col("rk") == k, F.col("d2"))).alias("last"))
     known = pts.join(last, "id", "left").select("id", "v", F.coalesce("last", F.lit(float("inf"))).alias("last"))
@@ -318,7 +319,7 @@ def _joined(batches):
 
 
 def approx_knn(
-    pts: DataFrame, k: int, trees: int = 8, leaf: int | None = None, passes: int = 10, seed: int = 0, most: int = LEAF_POINTS, least_change: float = 0.002
+    pts: DataFrame, k: int, trees: int = 16, leaf: int | None = None, passes: int = 10, seed: int = 0, most: int = LEAF_POINTS, least_change: float = 0.002
 ) -> DataFrame:
     """Leaf-mates of several trees, refined by local joins until a pass changes less than a share of the lists.
 

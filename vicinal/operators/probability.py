@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import LEAST_P
@@ -11,19 +15,8 @@ from vicinal.functions.vectors import LEAST_P
 LOW, HIGH, START, TOLERANCE, ROUNDS, LEAST_WIDTH = 1e-10, 1000.0, 1.0, 1e-2, 100, 1e-10
 
 
-def perplexity_of(distances: Column, sigma: Column) -> Column:
-    """2 to the entropy of the softmax of -d2 / (2 sigma^2); shares of 1e-10 or less count as none."""
-    twice = 2.0 * sigma * sigma
-    nearest = F.array_min(distances)
-    shares = F.transform(distances, lambda d: F.exp((nearest - d) / twice))
-    # sum e, and sum e * log2 e, give the entropy without dividing each share
-    return F.pow(F.lit(2.0), _entropy(shares, F.aggregate(shares, F.lit(0.0), lambda s, x: s + x)))
-
-
-def _entropy(shares: Column, total: Column) -> Column:
-    return F.aggregate(
-        F.transform(shares, lambda e: F.when(e / total > 1e-10, -(e / total) * F.log2(e / total)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x
-    )
+#: Distances of vertices that are searched together, about.
+TOGETHER = 1 << 20
 
 
 def perplexity(edges: DataFrame, sigma: float) -> DataFrame:
@@ -36,32 +29,58 @@ def perplexity(edges: DataFrame, sigma: float) -> DataFrame:
     return p.groupBy("src").agg(F.pow(F.lit(2.0), h).alias("perplexity"))
 
 
+def searched(lists: list[np.ndarray], target: float) -> np.ndarray:
+    """The sigma of each list of squared distances, by bisection of all at once.
+
+    Its perplexity is 2 to the entropy of the softmax of -d2 / (2 sigma^2); shares of 1e-10 or less count as none.
+    """
+    sizes = np.array([len(x) for x in lists])
+    d = np.full((len(lists), sizes.max()), np.inf)
+    d[np.arange(d.shape[1]) < sizes[:, None]] = np.concatenate(lists)
+    d -= d.min(axis=1)[:, None]
+    low, high, sigma = np.full(len(d), LOW), np.full(len(d), HIGH), np.full(len(d), START)
+    live = np.arange(len(d))
+    for _ in range(ROUNDS):
+        s = sigma[live]
+        e = np.exp(-d[live] / (2.0 * s * s)[:, None])
+        p = e / e.sum(axis=1)[:, None]
+        h = np.where(p > 1e-10, -p * np.log2(np.maximum(p, 1e-300)), 0.0).sum(axis=1)
+        found = 2.0**h
+        under, far = found < target, np.abs(found - target) >= TOLERANCE
+        low[live[far & under]] = s[far & under]
+        high[live[far & ~under]] = s[far & ~under]
+        live = live[far]
+        sigma[live] = (low[live] + high[live]) / 2.0
+        live = live[high[live] - low[live] >= LEAST_WIDTH]
+        if not len(live):
+            break
+    return sigma
+
+
 def sigmas(edges: DataFrame, target: float) -> DataFrame:
-    """(src, sigma) by bisection, as one expression over a vertex's distances.
+    """(src, sigma) by bisection over a vertex's distances, many vertices at once in a kernel.
 
     A vertex holds its own list, as long as its degree.  A target above the degree can't be met; sigma
     then runs up to its bound.
     """
-    lists = edges.groupBy("src").agg(F.sort_array(F.collect_list("d2")).alias("ds"))
-    start = F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"), F.lit(START).alias("s"), F.lit(False).alias("done"))
-
-    def step(state: Column, _: Column) -> Column:
-        # the perplexity of this round, named once
-        return F.transform(F.array(perplexity_of(F.col("ds"), state["s"])), lambda p: _next(state, p))[0]
-
-    def _next(state: Column, p: Column) -> Column:
-        near = F.abs(p - target) < TOLERANCE
-        low = p < target
-        lo = F.when(low, state["s"]).otherwise(state["lo"])
-        hi = F.when(low, state["hi"]).otherwise(state["s"])
-        moved = F.struct(lo.alias("lo"), hi.alias("hi"), ((lo + hi) / 2.0).alias("s"), (hi - lo < LEAST_WIDTH).alias("done"))
-        stopped = F.struct(state["lo"].alias("lo"), state["hi"].alias("hi"), state["s"].alias("s"), F.lit(True).alias("done"))
-        return F.when(near, stopped).otherwise(moved)
-
-    def guarded(state: Column, i: Column) -> Column:
-        return F.when(state["done"], state).otherwise(step(state, i))
-
-    return lists.select("src", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, guarded)["s"].alias("sigma"))
+    lists = edges.groupBy("src").agg(F.sort_array(F.collect_list(F.col("d2").cast("double"))).alias("ds"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy()
+            order = np.argsort(sizes, kind="stable")  # lists of about one length together
+            sigma, at = np.empty(len(order)), 0
+            values, ends = batch.column(1).flatten().to_numpy(), np.cumsum(sizes)
+            while at < len(order):
+                end = at + 1
+                while end < len(order) and (end + 1 - at) * sizes[order[end]] <= TOGETHER:
+                    end += 1
+                part = order[at:end]
+                sigma[part] = searched([values[ends[k] - sizes[k] : ends[k]] for k in part], target)
+                at = end
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigma)], names=["src", "sigma"])
+
+    return lists.mapInArrow(run, "src long, sigma double")
 
 
 def conditional(edges: DataFrame, sigma: DataFrame) -> DataFrame:
