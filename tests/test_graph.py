@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions import draws
 from vicinal.functions import vectors as fx
-from vicinal.operators import coarsen, graph, knn, probability, sampling
+from vicinal.operators import cells, coarsen, graph, knn, probability, sampling
 
 
 def edges_of(spark, rows):
@@ -284,3 +284,40 @@ def test_schedules():
     assert fx.learning_rate("constant", 200, 0.5, 100, 50) == 200
     with pytest.raises(ValueError):
         fx.learning_rate("step", 1, 1, 1, 1)
+
+
+RANDOM = np.random.default_rng(1)
+LAYOUTS = {
+    "coincident points": np.concatenate([np.zeros((300, 2)), RANDOM.normal(0, 1, (300, 2)).round(1)]),
+    "far from the others": np.concatenate([RANDOM.normal(0, 1e-3, (300, 2)), RANDOM.normal(1e6, 10, (5, 2)), [[1e3, 0.0]]]),
+    "equidistant, three dimensions": np.stack(np.meshgrid(range(7), range(7), range(7)), -1).reshape(-1, 3).astype(float),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+@pytest.mark.parametrize("most", [4096, 8])
+def test_cells_give_the_neighbours_of_all_pairs(spark, monkeypatch, name, most):
+    """Also where cells are dealt out in parts of 8."""
+    monkeypatch.setattr(cells, "ALL_PAIRS", 0)
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(LAYOUTS[name])], "id long, v array<double>")
+    rows = lambda found: sorted(tuple(r) for r in found.select("src", "dst", "d2", "rk").collect())
+    assert rows(cells.cell_knn(pts, 4, leaf=16, most=most)) == rows(knn.exact_knn(pts, 4))
+
+
+def test_cells_of_few_points_and_none(spark, monkeypatch):
+    few = spark.createDataFrame([(7, [0.0, 0.0]), (3, [1.0, 0.0])], "id long, v array<double>")
+    for bound in (0, cells.ALL_PAIRS):
+        monkeypatch.setattr(cells, "ALL_PAIRS", bound)
+        assert {(r["src"], r["dst"]) for r in cells.cell_knn(few, 4).collect()} == {(7, 3), (3, 7)}
+        assert cells.cell_knn(few.limit(0), 4).count() == 0
+
+
+def test_a_cell_tree_reaches_every_cell_within_a_distance():
+    x = RANDOM.normal(0, 1, (400, 2))
+    tree = cells.CellTree(x, 16, 5)
+    _, own = zip(*sorted(zip(*tree.reached(x, np.zeros(len(x))), strict=True)), strict=True)
+    assert len(own) == 400 and np.bincount(own)[1:].min() >= 5 and tree.cells > 10
+    rows, found = tree.reached(x[:20], np.full(20, 0.5))
+    near = np.sqrt(((x[:20, None] - x[None]) ** 2).sum(axis=2)) <= 0.5
+    for i in range(20):
+        assert set(np.array(own)[near[i]]) <= set(found[rows == i])

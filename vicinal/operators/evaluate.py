@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vicinal.operators.cells import cell_knn
 from vicinal.operators.knn import block_pairs, exact_knn, pairwise
 from vicinal.session import cut
 
@@ -24,13 +25,13 @@ def overlaps(a: DataFrame, b: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def preservation(points: DataFrame, layout: DataFrame, k: int = 30) -> DataFrame:
     """One row: how many of the k nearest neighbours a layout keeps."""
-    shared = overlaps(exact_knn(points, k), exact_knn(layout, k), points)
+    shared = overlaps(exact_knn(points, k), cell_knn(layout, k), points)
     return shared.agg(*_stats(F.col("overlap"), "knn_overlap"), (100.0 * F.avg("overlap") / k).alias("knn_overlap_pct"))
 
 
 def separation(layout: DataFrame) -> DataFrame:
     """One row: distances to the nearest point, their buckets, and points that coincide."""
-    away = exact_knn(layout, 1).select("src", F.when(F.col("d2") <= 1e-12, 0.0).otherwise(F.sqrt("d2")).alias("d"))
+    away = cell_knn(layout, 1).select("src", F.when(F.col("d2") <= 1e-12, 0.0).otherwise(F.sqrt("d2")).alias("d"))
     d = F.col("d")
     buckets = [("under_01", d < 0.1), ("under_1", (d >= 0.1) & (d < 1)), ("under_10", (d >= 1) & (d < 10)), ("over_10", d >= 10)]
     near = away.agg(*_stats(d, "min_dist"), *[F.count_if(c).alias(n) for n, c in buckets])
@@ -53,7 +54,7 @@ def spread(layout: DataFrame) -> DataFrame:
 
 def local_density(layout: DataFrame, k: int = 10) -> DataFrame:
     """One row: the mean distance to the k nearest."""
-    mean = exact_knn(layout, k).groupBy("src").agg(F.avg(F.sqrt("d2")).alias("d"))
+    mean = cell_knn(layout, k).groupBy("src").agg(F.avg(F.sqrt("d2")).alias("d"))
     return mean.agg(*_stats(F.col("d"), "local_density"))
 
 

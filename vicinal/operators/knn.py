@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from vicinal.functions.vectors import LEAST_D2, sqdist
 from vicinal.session import cut, drop
 
-#: Points of one side of a block task, of which a task holds two.
-BLOCK = 512
+#: Points of one side of a block task, of which a task holds two: in small tables, and at most.
+BLOCK, MOST_BLOCK = 512, 4096
 #: Points that the trees are fitted to at most; every point is placed in every tree.
 SAMPLE_POINTS = 20_000
 #: Points of a leaf that one task compares; larger leaves are split further.
@@ -45,27 +45,27 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 0)
 
 
-def block_pairs(pts: DataFrame, kernel, schema: str, block: int = BLOCK, carry: str | None = None) -> DataFrame:
-    """``kernel(left ids, left matrix, right ids, right matrix, right carry)`` on every pair of blocks.
+def block_pairs(pts: DataFrame, kernel, schema: str, block: int | None = None, carry: str | None = None) -> DataFrame:
+    """``kernel(left ids, left matrix, right ids, right matrix, right carry)`` on every ordered pair of blocks.
 
-    Every point stands on the left of each block and on the right of each: the rows sent are n * n / block
-    pairs' worth of points, and a task holds two blocks.
+    Two blocks meet once, in a task that takes them both ways, so every point is sent once for each block.
+    Without ``block`` it grows with the table up to MOST_BLOCK, which changes how much is sent and nothing else.
     """
     n = pts.count()
+    block = block or min(MOST_BLOCK, max(BLOCK, n // 16))
     blocks = max(1, -(-n // block))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
     extra = F.col(carry).cast("long").alias("c") if carry else F.lit(0).cast("long").alias("c")
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = pts.select(own.alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), "id", "v", extra)
-    right = pts.select(F.explode(every).alias("i"), own.alias("j"), F.lit(1).alias("side"), "id", "v", extra)
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")
+    rows = pts.select(own, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), "id", "v", extra)
+    rows = rows.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "id", "v", "c")
 
     def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        lefts, rights = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-        out = kernel(lefts["id"].to_numpy(), matrix(lefts["v"]), rights["id"].to_numpy(), matrix(rights["v"]), rights["c"].to_numpy())
-        return pa.table(out)
+        right = table["right"].to_numpy()
+        sides = [(t["id"].to_numpy(), matrix(t["v"]), t["c"].to_numpy()) for t in (table.filter(pa.array(~right)), table.filter(pa.array(right)))]
+        ways = [(0, 0)] if table["i"][0] == table["j"][0] else [(0, 1), (1, 0)]
+        return pa.concat_tables([pa.table(kernel(*sides[x][:2], *sides[y])) for x, y in ways])
 
-    return left.unionByName(right).groupBy("i", "j").applyInArrow(run, schema)
+    return rows.groupBy("i", "j").applyInArrow(run, schema)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,29 +73,37 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(((b - a) ** 2).sum(axis=1), LEAST_D2)
 
 
-def exact_knn(pts: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def closest(ids: np.ndarray | None, a: np.ndarray, others: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, d2) of all that are as near as the k-th nearest, and maybe some more.  With ``ids``,
+    no point is near itself."""
+    out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+    for at in range(0, len(a) if len(others) else 0, 512):
+        x = a[at : at + 512]
+        d = products(x, b)
+        if ids is not None:
+            d[ids[at : at + 512, None] == others[None, :]] = np.inf
+        # products lose digits, so all that may be as near are measured again
+        loss = 1e-9 * ((b - b.mean(axis=0)) ** 2).sum(axis=1).max() + 1e-9 * ((x - b.mean(axis=0)) ** 2).sum(axis=1)[:, None]
+        i, j = np.nonzero(d <= np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, [min(k, d.shape[1]) - 1]] + loss)
+        keep = np.isfinite(d[i, j])
+        i, j = i[keep], j[keep]
+        for column, values in zip(out, (at + i, j, np.maximum(((b[j] - x[i]) ** 2).sum(axis=1), LEAST_D2)), strict=True):
+            column.append(values)
+    return tuple(map(np.concatenate, out))
+
+
+def exact_knn(pts: DataFrame, k: int, block: int | None = None) -> DataFrame:
     """The k nearest of every point, by all pairs in blocks; each block pair hands on k for each point."""
 
     def kernel(ids, a, others, b, _):
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
-        for at in range(0, len(ids) if len(others) else 0, 512):
-            own, x = ids[at : at + 512], a[at : at + 512]
-            d = products(x, b)
-            d[own[:, None] == others[None, :]] = np.inf
-            # all that may be as near as the k-th: products lose digits, so those are measured again
-            loss = 1e-9 * ((b - b.mean(axis=0)) ** 2).sum(axis=1).max() + 1e-9 * ((x - b.mean(axis=0)) ** 2).sum(axis=1)[:, None]
-            i, j = np.nonzero(d <= np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, [min(k, d.shape[1]) - 1]] + loss)
-            keep = np.isfinite(d[i, j])
-            i, j = i[keep], j[keep]
-            for column, values in zip(out, (own[i], others[j], np.maximum(((b[j] - x[i]) ** 2).sum(axis=1), LEAST_D2)), strict=True):
-                column.append(values)
-        return dict(zip(("src", "dst", "d2"), map(np.concatenate, out), strict=True))
+        i, j, d2 = closest(ids, a, others, b, k)
+        return {"src": ids[i], "dst": others[j], "d2": d2}
 
     return top_k(block_pairs(pts, kernel, "src long, dst long, d2 double", block), k)
 
 
 def pairwise(pts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Squared distances of all pairs, src < dst."""
+    """Squared distances of all pairs, src < dst; a task gives block * block rows."""
 
     def kernel(ids, a, others, b, _):
         parts = [(others[keep], i, distances(x, b[keep])) for i, x in zip(ids, a, strict=True) if (keep := others > i).any()]
