@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vicinal.operators import ranks
 from vicinal.operators.cells import cell_knn
 from vicinal.operators.knn import block_pairs, exact_knn, pairwise
 from vicinal.session import cut
@@ -111,11 +112,24 @@ def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def spearman(layout: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row: rank correlation of pairwise distances with differences of ``truth(id, value)``, and n_pairs."""
+    """One row: rank correlation of pairwise distances with differences of ``truth(id, value)``, and n_pairs.
+
+    Up to MOST_VALUES different values no pair is written; beyond, all pairs are tables of Spark's.  A pair that
+    lacks a value ranks last.
+    """
+    found = ranks.correlation(layout, truth)
+    if found is None:
+        return spearman_by_tables(layout, truth)
+    return layout.sparkSession.createDataFrame([found], "spatial_correlation double, n_pairs long")
+
+
+def spearman_by_tables(layout: DataFrame, truth: DataFrame) -> DataFrame:
+    """``spearman`` for any values: all pairs are written with both ranks."""
     pairs = pairwise(layout).select("src", "dst", F.round(F.sqrt("d2"), 9).alias("d"))
     a = truth.select(F.col("id").alias("src"), F.col("value").alias("va"))
     b = truth.select(F.col("id").alias("dst"), F.col("value").alias("vb"))
-    pairs = pairs.join(a, "src").join(b, "dst").select("d", F.abs(F.col("va") - F.col("vb")).cast("double").alias("t"))
+    apart = F.coalesce(F.abs(F.col("va") - F.col("vb")).cast("double"), F.lit(float("inf")))
+    pairs = pairs.join(a, "src").join(b, "dst").select("d", apart.alias("t"))
     ranked = average_ranks(average_ranks(pairs, "d", "rd"), "t", "rt")
     return ranked.agg(F.corr("rd", "rt").alias("spatial_correlation"), F.count(F.lit(1)).alias("n_pairs"))
 
