@@ -84,3 +84,11 @@ def test_spearman_of_ties_as_sql():
     d = ranks.Differences(np.nan_to_num(values), np.isnan(values), ids)
     found = ranks._added([ranks.sums(ranks.Cells(x, d.code, ids), d, 0, 1 << 40, 100)])
     assert (found[0], found[2] / np.sqrt(((n**3 - n) - found[3]) / 12 * d.squares)) == (n, pytest.approx(r, abs=1e-11))
+
+
+def test_verdicts_without_a_table_of_pairs(spark, monkeypatch):
+    from tests.conftest import DATA
+    from vicinal.plans.queries import QUERIES
+
+    monkeypatch.setattr(evaluate, "pairwise", None)  # failed before: all pairs were written
+    assert QUERIES["verdicts"](spark, DATA).first()["correlation"] == "warning"

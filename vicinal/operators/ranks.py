@@ -16,9 +16,9 @@ from vicinal.operators.knn import matrix
 
 #: Pairs of a range, about, where a pair takes 4 bytes (half as many where it takes 8); ranges found to have over
 #: twice as many are cut further.  Smaller tables have up to RANGES of MANY pairs.
-PAIRS, RANGES, MANY = 40_000_000, 24, 1 << 20
+PAIRS, RANGES, MANY = 20_000_000, 24, 1 << 20
 #: Points of a cell at most, pairs that are measured at once, and points between which the ranges are estimated.
-CELL, AT_ONCE, SAMPLE = 32, 1 << 18, 2048
+CELL, AT_ONCE, SAMPLE = 32, 1 << 16, 2048
 #: Different values up to which the ranks of their differences are kept as a table.
 MOST_VALUES = 1024
 #: Steps of distance in 1, and the least distance in steps.
@@ -158,20 +158,15 @@ def sums(cells: Cells, differences: Differences, lo: int, hi: int, most: int) ->
         return n, s, s * (n + 1) / 2.0, float(n) ** 3 - n
     kind = np.uint32 if (hi - lo) << bits <= 1 << 32 else np.uint64
     most = most if kind == np.uint32 else most // 2
-    found, n = [], 0
+    # what isn't written takes no memory
+    keys, n = np.empty(2 * most, kind), 0
     for q, t in cells.pairs(lo, hi, differences):
+        if n + len(q) > len(keys):
+            del keys
+            return _parted(cells, differences, lo, hi, most)
+        keys[n : n + len(q)] = (q - lo).astype(kind) << kind(bits) | t.astype(kind)
         n += len(q)
-        if n > 2 * most:
-            break
-        found.append((q - lo).astype(kind) << kind(bits) | t.astype(kind))
-    if n > 2 * most:
-        del found
-        return _parted(cells, differences, lo, hi, most)
-    keys, at = np.empty(n, kind), n
-    while found:  # each part goes as soon as it is copied
-        part = found.pop()
-        keys[at - len(part) : at] = part
-        at -= len(part)
+    keys = keys[:n]
     keys.sort()
     total, product, ties, begin = 0.0, 0.0, 0.0, 0
     while begin < n:
