@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vicinal.operators import evaluate, layout
+from vicinal.operators import coarsen, evaluate, layout
 from vicinal.sources import vectors as files
 
 
@@ -208,3 +208,27 @@ def test_large_levels_in_three_dimensions(spark, monkeypatch):
     near, far = ((y[0] - y[1]) ** 2).sum(), ((y[0] - y[2]) ** 2).sum()
     want = y[0] - (y[0] - y[1]) / (1 + near) + 7 / (far * (1 + far)) * (y[0] - y[2])
     assert [got["x"], got["y"], got["z"]] == pytest.approx(list(want))
+
+
+def test_level_of_a_hundred_thousand_points_in_one_task(spark, monkeypatch):
+    """Five million edges; failed before, as each epoch was a join."""
+    monkeypatch.setattr(layout, "_optimize_together", None)
+    n, k = 100_000, 50
+    edges = spark.range(n * k).select(F.floor(F.col("id") / k).alias("src"), ((F.floor(F.col("id") / k) + F.col("id") % k + 1) % n).alias("dst"), F.lit(0.5).alias("w"))
+    vertices = spark.range(n).select("id", (F.col("id") - F.col("id") % 4).alias("gid"))
+    at = vertices.select("id", "gid", F.rand(1).alias("x"), F.rand(2).alias("y")).cache()
+    moved = layout.optimize_level(coarsen.Level(vertices, edges, n), at, layout.Config(), 2, 7.0, 0)
+    assert moved.count() == n and moved.join(at.select("id", F.col("x").alias("was")), "id").where("x = was").isEmpty()
+
+
+def test_epochs_from_the_edges_of_representatives_alone():
+    rng = np.random.default_rng(3)
+    n = 60
+    pairs = np.unique(rng.integers(0, n, (400, 2)), axis=0)
+    src, dst = pairs[pairs[:, 0] != pairs[:, 1]].T
+    w, gids, config = rng.random(len(src)), np.arange(n) // 4, layout.Config()
+    full = layout.LevelKernel(np.arange(n), gids, src, dst, w, config)
+    own = np.isin(src, full.rep)
+    part = layout.LevelKernel(np.arange(n), gids, src[own], dst[own], w[own], config, np.bincount(src, minlength=n))
+    y = rng.normal(size=(n, 2))
+    assert np.allclose(full.run(y, 20, 7.0, 1), part.run(y, 20, 7.0, 1))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ from vicinal.functions.draws import uniform, uniform_column
 from vicinal.session import cut, drop
 
 #: Edges up to which one task runs a level's rounds; beyond it they run over all executors, with the same result.
-LOCAL_EDGES = 2_000_000
+LOCAL_EDGES = 12_000_000
 
 
 @dataclass
@@ -33,7 +33,7 @@ class Level:
 
 def offers(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, pull: int, seed: int) -> np.ndarray:
     """The group of each of the sorted ``ids``, named by its seed's id."""
-    s, d = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    s, d = (np.searchsorted(ids, end).astype(np.int32) for end in (src, dst))
     order = np.lexsort((d, -w, s))
     s, d, w = s[order], d[order], w[order]
     gid, free, step = np.full(len(ids), -1), np.ones(len(ids), bool), 0
@@ -59,17 +59,29 @@ def offers(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, pul
     return ids[gid]
 
 
+def link_lists(edges: DataFrame) -> DataFrame:
+    """(id, links): the edges of each src in one row, in order of dst, so that a task that takes them all gets
+    16 bytes for each."""
+    return edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct("dst", "w"))).alias("links"))
+
+
+def links(column: pa.ChunkedArray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """src, dst and w of a column of ``link_lists``, of which some are null."""
+    lists = column.combine_chunks()
+    dst, w = lists.flatten().flatten()
+    return np.repeat(ids, lists.value_lengths().fill_null(0).to_numpy()), dst.to_numpy(), w.to_numpy()
+
+
 def _grouped_locally(vertices: DataFrame, edges: DataFrame, pull: int, seed: int) -> DataFrame:
-    none = F.lit(None)
-    both = vertices.select("id", none.cast("long").alias("dst"), none.cast("double").alias("w")).unionByName(edges.select(F.col("src").alias("id"), "dst", "w"))
+    both = vertices.select("id").join(link_lists(edges), "id", "left")
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        own = table["dst"].isna()
-        ids, e = np.sort(table.loc[own, "id"].to_numpy(np.int64)), table[~own]
-        return pd.DataFrame({"id": ids, "gid": offers(ids, e["id"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), e["w"].to_numpy(float), pull, seed)})
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["id"].to_numpy()
+        found = np.sort(ids)
+        return pa.table({"id": found, "gid": offers(found, *links(table["links"], ids), pull, seed)})
 
     # bounded by LOCAL_EDGES
-    return both.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id long, gid long")
+    return both.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, "id long, gid long")
 
 
 def _grouped_in_rounds(vertices: DataFrame, edges: DataFrame, pull: int, seed: int) -> DataFrame:
