@@ -59,22 +59,33 @@ def local_density(layout: DataFrame, k: int = 10) -> DataFrame:
     return mean.agg(*_stats(F.col("d"), "local_density"))
 
 
+#: Rows of a block that are measured at once.
+ROWS = 16
+
+
 def silhouettes(labelled: DataFrame) -> DataFrame:
     """``labelled(id, v, label)`` to (id, silhouette): distances summed for each point and cluster in blocks."""
 
     def kernel(ids, a, others, b, labels):
-        src, of, total, count = [], [], [], []
-        kinds, at = np.unique(labels, return_inverse=True)
-        for i, x in zip(ids, a, strict=True):
-            if not len(others):
-                break
-            d = np.sqrt(((b - x) ** 2).sum(axis=1))
-            keep = others != i
-            src += [i] * len(kinds)
-            of += kinds.tolist()
-            total += np.bincount(at, weights=d * keep, minlength=len(kinds)).tolist()
-            count += np.bincount(at, weights=keep, minlength=len(kinds)).astype(int).tolist()
-        return {"src": np.array(src, np.int64), "cluster": np.array(of, np.int64), "total": np.array(total, float), "n": np.array(count, np.int64)}
+        if not len(ids) or not len(others):
+            return {"src": np.empty(0, np.int64), "cluster": np.empty(0, np.int64), "total": np.empty(0), "n": np.empty(0, np.int64)}
+        by = np.argsort(labels, kind="stable")
+        others, b = others[by], np.ascontiguousarray(b[by].T)
+        kinds, first, sizes = np.unique(labels[by], return_index=True, return_counts=True)
+        total, count = np.empty((len(ids), len(kinds))), np.broadcast_to(sizes, (len(ids), len(kinds))).copy()
+        meet = np.isin(ids, others)
+        for at in range(0, len(ids), ROWS):
+            d = np.zeros((len(ids[at : at + ROWS]), len(others)))
+            for axis, column in enumerate(b):
+                apart = np.subtract(a[at : at + ROWS, axis, None], column)
+                d += np.multiply(apart, apart, out=apart)
+            np.sqrt(d, out=d)
+            if meet[at : at + ROWS].any():
+                same = ids[at : at + ROWS, None] == others
+                d[same] = 0.0
+                count[at : at + ROWS] -= np.add.reduceat(same, first, axis=1, dtype=np.int64)
+            total[at : at + ROWS] = np.add.reduceat(d, first, axis=1)
+        return {"src": np.repeat(ids, len(kinds)), "cluster": np.tile(kinds, len(ids)).astype(np.int64), "total": total.ravel(), "n": count.ravel()}
 
     sums = block_pairs(labelled, kernel, "src long, cluster long, total double, n long", carry="label")
     means = sums.groupBy("src", "cluster").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.sum("n").alias("n"))
